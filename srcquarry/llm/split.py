@@ -39,6 +39,42 @@ def core_size(max_size: Column, overlap: Column, unit: Column) -> Column:
     return F.greatest(F.lit(1), max_size - F.when(overlap > 0, room).otherwise(0)).cast("int")
 
 
+def split_oversized(
+    items: DataFrame,
+    limits: DataFrame,
+    *,
+    key: str,
+    text: str,
+    first_line: str,
+    on: str,
+) -> DataFrame:
+    """Pieces of every item whose ``text`` has more code points than the limit for its ``on`` value.
+
+    ``limits`` has ``on``, ``max_size``, ``overlap`` and ``overlap_unit`` ('code points' or 'lines').
+    Rows out: key, ``piece_no`` (from 1), ``pieces``, ``piece`` (overlap and new text),
+    ``overlap_chars``, ``char_start``, ``char_end`` (code points, end exclusive, overlap included),
+    ``start_line``, ``end_line`` (of the piece; a line break at the end belongs to its line).
+
+    The new texts of an item, joined, are the item. An overlap in code points is exactly as long as
+    given, as long as the text before is; an overlap in lines is the last lines before the new text,
+    or, where these are longer than a third of the limit, as much of their end as that.
+
+    Items with null or short text, a null ``on`` or no limit give no rows; so does an empty table.
+    Repeated items are split once for each row. Null ``first_line`` counts as 1. Only the named
+    columns are read, so other columns may have any names.
+    """
+    src = items.select(
+        F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(first_line), F.lit(1)).alias("l0"), F.col(on).alias("g")
+    )
+    lim = limits.select(F.col(on).alias("lim_on"), "max_size", "overlap", "overlap_unit")
+    big = src.join(lim, (F.col("g") == F.col("lim_on")) & (F.char_length("t") > F.col("max_size")))
+    core = core_size(F.col("max_size"), F.col("overlap"), F.col("overlap_unit"))
+    cut = big.withColumn("cores", F.regexp_extract_all("t", boundary_pattern(core), F.lit(0)))
+
+    room = F.when(unit == "lines", F.floor(max_size / LINE_OVERLAP_SHARE)).otherwise(overlap)
+    return F.greatest(F.lit(1), max_size - F.when(overlap > 0, room).otherwise(0)).cast("int")
+
+
 def split_oversized(
     items: DataFrame,
     limits: DataFrame,
@@ -74,8 +110,12 @@ def split_oversized(
     lines = F.concat(F.lit(r"(?s)(?:[^\n]*\n){0,"), F.greatest(F.col("overlap") - 1, F.lit(0)).cast("string"), F.lit(r"}[^\n]*\n?\z"))
     room = F.greatest(F.col("max_size") - core, F.lit(0))
 
+    def last_lines(previous: Column) -> Column:
+        lines = F.regexp_extract_all(previous, F.lit(r"[^\n]*+\n|[^\n]++"), F.lit(0))
+        return F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - F.col("overlap") + 1), F.col("overlap")), "")
+
     def back(previous: Column) -> Column:
-        tail = F.when(F.col("overlap_unit") == "lines", F.coalesce(F.regexp_substr(previous, lines), F.lit(""))).otherwise(previous)
+        tail = F.when(F.col("overlap_unit") == "lines", last_lines(previous)).otherwise(previous)
         return F.when((F.col("overlap") <= 0) | (room <= 0), F.lit("")).otherwise(F.right(tail, room))
 
     def breaks(s: Column) -> Column:
