@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import doc_pair_queries, secret_queries, split_queries
+from . import doc_pair_queries, secret_queries, split_queries, validity_queries
 
-_MODULES = [doc_pair_queries, secret_queries, split_queries]
+_MODULES = [doc_pair_queries, secret_queries, split_queries, validity_queries]
 
 
 def queries() -> dict:
