@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import doc_pair_queries, mixing_queries, origin_queries, packing_queries, secret_queries, split_queries, validity_queries
+from . import doc_pair_queries, mixing_queries, origin_queries, packing_queries, reading_queries, secret_queries, split_queries, validity_queries
 
-_MODULES = [doc_pair_queries, secret_queries, split_queries, validity_queries, origin_queries, packing_queries, mixing_queries]
+_MODULES = [doc_pair_queries, secret_queries, split_queries, validity_queries, origin_queries, packing_queries, mixing_queries, reading_queries]
 
 
 def queries() -> dict:
