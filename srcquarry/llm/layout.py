@@ -22,12 +22,18 @@ THIRD_PARTY_HEAD = re.compile(
 )
 NOT_GENERATED = re.compile(r"(?i)\bnot (?:auto-?)?generated\b|\bby hand\b(?!: run)|hand-?written")
 
-_TOKEN = re.compile(
-    r"(?P<com>//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\n])[ \t]*\#[^\n]*|\#[^\n]*)"
-    r'|(?P<str>[rRbBuUfFL]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\')|`[^`]*`|[rRbBuUfFL]{0,2}"(?:[^"\\\n]|\\.)*"|[rRbBuUfFL]{0,2}\'(?:[^\'\\\n]|\\.)*\')'
-    r"|(?P<num>0[xX][0-9a-fA-F_]+|\d[\w.]*)|(?P<id>[^\W\d]\w*)|(?P<nl>\n)|(?P<op>[^\s])",
+_SKIP = re.compile(
+    r"//[^\n]*|/\*.*?(?:\*/|\Z)|\#[^\n]*"
+    r'|[rRbBuUfFL]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\')|`[^`]*`|[rRbBuUfFL]{0,2}(?:"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')',
     re.S,
 )
+_NUMBER = re.compile(r"\b\d[\w.]*")
+_NAME = re.compile(r"[^\W\d]\w*")
+_ONE_LINE = re.compile(r"^[ \t]*(?:async |def |if |for |while |class |else|try|with )[^\n]*?:[ \t]*[^\s:]", re.M)
+_FOR = re.compile(r"\bfor\s*\([^){}]*;[^){}]*;")
+_TOP = re.compile(r"^[^\s})\]]", re.M)
+_NUMBERED = re.compile(r"^(?:func \([^)\n]*\) |[^\s})\]][^\n(=]*?)?[A-Za-z_]{3,}\d+\b", re.M)
+_LOGIC = re.compile(r"\b(?:def|func|return|import|class|for|if|lambda|while|switch)\b|^[ \t]*#[ \t]*include", re.M)
 _KNOWN = re.compile(r"\w+|[^\w\s]")
 _HEAD_END = re.compile(r"\s*(?://|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|undef|line)\b)|/\*|\*|<!--|\"\"\"|'''|;|--)")
 _KEYWORDS = frozenset(
@@ -80,98 +86,65 @@ def layout(text: str, language: str | None) -> Layout:
     """Lex a file, write it anew one statement per line, and measure the original against that.
 
     Python statements end at line ends, semicolons and the colon of a one-line block; statements of the
-    other languages end at semicolons outside parentheses, and at braces of blocks.
+    other languages end at semicolons outside the head of a loop, and at braces. Literal data are numbers and
+    long string literals without words.
     """
     python = language == "python"
-    canonical = lines = data = code = 0
-    logic = False
-    depth = 0
-    line_has = False
-    shape: list[str] = []
-    forms: list[str] = []
-    names: list[bool] = []
-    width_sum = 0
-    numbered = False
-    last_colon = False
-    col0 = True
-    for m in _TOKEN.finditer(text):
-        kind, t = m.lastgroup, m[0]
-        if kind == "nl":
-            if line_has:
-                lines += 1
-                if python and not depth:
-                    canonical += 1
-            line_has, last_colon = False, False
-            continue
-        if kind == "com":
-            if t.lstrip().startswith("#") and not python and re.match(r"\s*#\s*(?:include|define)", t):
-                line_has = True
-                canonical += 1
-            continue
-        at = m.start()
-        col0 = at == 0 or text[at - 1] == "\n"
-        if col0 and not depth and t not in "})]" and (t not in ("else",)):
-            if shape:
-                forms.append("".join(shape))
-                names.append(numbered)
-            shape, numbered = [], False
-        line_has = True
+    data = 0
+    includes = 0
+
+    def lex(m: re.Match) -> str:
+        nonlocal data, includes
+        t = m[0]
+        c = t[0]
+        if c == "#":
+            if not python and re.match(r"#[ \t]*(?:include|define|pragma)", t):
+                includes += 1
+            return ""
+        if c == "/":
+            return "\n" if "\n" in t else ""
         n = len(t)
-        code += n
-        if kind == "num":
+        if n > 24 and " " not in t.strip("\"'`") or n > 400 and t.count(" ") < n / 30:
             data += n
-            shape.append("0")
-        elif kind == "str":
-            if n > 24 and " " not in t.strip("\"'`") or n > 400 and t.count(" ") < n / 30:
-                data += n
-            shape.append('"')
-            lines += t.count("\n")
-        elif kind == "id":
-            if t in _KEYWORDS:
-                shape.append(t)
-                logic = logic or t in ("def", "func", "return", "import", "class", "for", "if", "lambda", "while", "switch")
-            else:
-                shape.append("a")
-                if not numbered and t[-1].isdigit() and len(shape) < 9 and len(t) > 4:
-                    numbered = True
-        else:
-            if t in "([" or python and t == "{":
-                depth += 1
-            elif t in ")]" or python and t == "}":
-                depth = max(0, depth - 1)
-            elif not python and (t in "{}" or t == ";" and not depth):
-                canonical += 1
-            elif python and t == ";" and not depth:
-                canonical += 1
-            elif t == ":" and python and not depth:
-                last_colon = True
-                shape.append(t)
+            return '"' + "\x01" * (n - 2) + '"'
+        return '""'
+
+    code = _SKIP.sub(lex, text.replace("\r", ""))
+    rows = [r for r in code.split("\n") if r and not r.isspace()]
+    lines = len(rows) + includes
+    size = len(code) - code.count(" ") - code.count("\t") - code.count("\n")
+    if python:
+        canonical = lines + code.count(";") + sum(1 for _ in _ONE_LINE.finditer(code))
+    else:
+        canonical = includes + code.count(";") + code.count("{") + code.count("}") - 2 * sum(1 for _ in _FOR.finditer(code))
+    digits = sum(map(len, _NUMBER.findall(code)))
+    if digits * 3 > size:  # in tables, separators belong to the data
+        digits += code.count(",")
+    logic = includes > 0 or _LOGIC.search(code) is not None
+    tops = sum(1 for _ in _TOP.finditer(code))
+    uniform = numbered = 0.0
+    n = 0
+    if tops >= UNIFORM_LEAST and sum(1 for _ in _NUMBERED.finditer(code)) >= 0.5 * tops:
+        shape = _NUMBER.sub("0", code)
+        forms: Counter[str] = Counter()
+        marked: Counter[str] = Counter()
+        for form, original in zip(re.split(r"\n(?=[^\s})\]])", shape.strip("\n")), re.split(r"\n(?=[^\s})\]])", code.strip("\n"))):
+            if form.startswith(("import", "from ", "package")):
+                continue
+            head = original.split("=")[0].split("(")[-2 if original.startswith("func (") and original.count("(") > 1 else 0][:120]
+            key = _NAME.sub(lambda m: m[0] if m[0] in _KEYWORDS else "a", form)
+            key = re.sub(r"\s+", " ", key).strip()
+            if not key:
                 continue
-            if t != ",":
-                shape.append(t)
-            if t in ",[]{}()+":
-                data += data and 1
-        if last_colon and python and not depth:
-            if shape and shape[0] in ("def", "if", "for", "while", "class", "async"):
-                canonical += 1
-            last_colon = False
-    if shape:
-        forms.append("".join(shape))
-        names.append(numbered)
-    if line_has:
-        lines += 1
-        if python and not depth:
-            canonical += 1
-    counts = Counter(f for f in forms if not f.startswith(("import", "from", "package")) and f)
-    n = sum(counts.values())
-    best = counts.most_common(2)
-    uniform = sum(v for _, v in best) / n if n else 0.0
-    top = {f for f, _ in best}
-    marked = sum(1 for f, x in zip(forms, names) if x and f in top)
-    width_sum = len(text) - text.count(" ")
-    return Layout(
-        lines, canonical, width_sum / max(1, lines), min(1.0, data / code) if code else 0.0, uniform, marked / n if n else 0.0, n, logic
-    )
+            forms[key] += 1
+            if re.search(r"[A-Za-z_]{3,}\d+\b", original[:160] if original.startswith("func") else head):
+                marked[key] += 1
+        n = sum(forms.values())
+        best = forms.most_common(2)
+        uniform = sum(v for _, v in best) / n if n else 0.0
+        numbered = sum(marked[k] for k, _ in best) / n if n else 0.0
+    width = (len(text) - text.count(" ")) / max(1, lines)
+    return Layout(lines, canonical, width, min(1.0, (data + digits) / size) if size else 0.0, uniform, numbered, n, logic)
 
 
 def shingles(text: str, size: int = 5) -> set[tuple[str, ...]]:
