@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import snapshot_queries
+from . import index_queries, snapshot_queries
 
-_MODULES = [snapshot_queries]
+_MODULES = [snapshot_queries, index_queries]
 
 
 def queries() -> dict:
