@@ -59,26 +59,28 @@ def validity_intervals(
     most one row per snapshot there.
     """
     dims = [*group, *key]
-    pick = F.max(F.struct(F.col(received), F.struct(*[F.col(v) for v in values]).alias("v"))).alias("last")
+    at = sequence.select(*group, snapshot, F.col("seq").alias("__seq"), F.col(snapshot).alias("__at"), F.col("next_snapshot").alias("__next"))
+    newest = F.max(F.struct(F.col(received).alias("r"), F.struct(*[F.col(v) for v in values]).alias("v"))).alias("__last")
     one = (
         rows.select(*dims, snapshot, received, *values)
-        .join(sequence.select(*group, snapshot, "seq", F.col(snapshot).alias("at"), "next_snapshot"), [*group, snapshot])
-        .groupBy(*dims, "seq", "at", "next_snapshot")
-        .agg(pick)
-        .select(*dims, "seq", "at", "next_snapshot", *[F.col(f"last.v.{v}").alias(v) for v in values])
-        .withColumn("row_hash", _hash(values))
+        .join(at, [*group, snapshot])
+        .groupBy(*dims, "__seq", "__at", "__next")
+        .agg(newest)
+        .select(*dims, "__seq", "__at", "__next", *[F.col(f"__last.v.{v}").alias(v) for v in values])
+        .withColumn("__hash", _hash(values))
     )
-    by_key = Window.partitionBy(*dims).orderBy("seq")
-    fresh = (F.lag("seq").over(by_key) == F.col("seq") - 1) & (F.lag("row_hash").over(by_key) == F.col("row_hash"))
-    islands = one.withColumn("fresh", F.when(fresh, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(by_key))
-    return islands.groupBy(*dims, "island").agg(
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.min_by("at", "seq").alias("first_snapshot"),
-        F.max_by("at", "seq").alias("last_snapshot"),
-        F.max_by("next_snapshot", "seq").alias("next_snapshot"),
+    by_key = Window.partitionBy(*dims).orderBy("__seq")
+    goes_on = (F.lag("__seq").over(by_key) == F.col("__seq") - 1) & (F.lag("__hash").over(by_key) == F.col("__hash"))
+    starts = one.withColumn("__start", F.when(goes_on, 0).otherwise(1))
+    islands = starts.withColumn("__island", F.sum("__start").over(by_key))
+    return islands.groupBy(*dims, "__island").agg(
+        F.min("__seq").alias("first_seq"),
+        F.max("__seq").alias("last_seq"),
+        F.min_by("__at", "__seq").alias("first_snapshot"),
+        F.max_by("__at", "__seq").alias("last_snapshot"),
+        F.max_by("__next", "__seq").alias("next_snapshot"),
         *[F.first(v).alias(v) for v in values],
-    )
+    ).drop("__island")
 
 
 def change_events(intervals: DataFrame, *, group: Sequence[str], key: Sequence[str], snapshot: str) -> DataFrame:
