@@ -42,10 +42,15 @@ class TokenSymbols(dict):
 
 
 class Reducer:
-    """Reduces all bracket groups of a skeleton; ``readings`` has (bit, pattern) pairs per bracket."""
+    """Reduces all bracket groups of a skeleton.
 
-    def __init__(self, readings: dict[str, list[tuple[int, str]]], tidy: Callable[[str], str] | None = None):
-        self.readings = {b: [(bit, re.compile(p)) for bit, p in rs] for b, rs in readings.items()}
+    ``readings`` has (bit, view, pattern) per bracket; a view is a rewriting of the contents that patterns are
+    matched on, such as the one in which operands are single symbols. Small views keep the patterns small.
+    """
+
+    def __init__(self, readings: dict[str, list[tuple[int, str, str]]], views: dict[str, Callable[[str], str]], tidy: Callable[[str], str] | None = None):
+        self.readings = {b: [(bit, view, re.compile(p)) for bit, view, p in rs] for b, rs in readings.items()}
+        self.views = views
         self.tidy = tidy
         self.memo: dict[str, str] = {}
 
@@ -59,8 +64,11 @@ class Reducer:
         if _PAIR[bracket] == end:
             if self.tidy:
                 inside = self.tidy(inside)
-            for bit, pattern in self.readings[bracket]:
-                if pattern.fullmatch(inside):
+            seen: dict[str, str] = {}
+            for bit, view, pattern in self.readings[bracket]:
+                if view not in seen:
+                    seen[view] = self.views[view](inside)
+                if pattern.fullmatch(seen[view]):
                     mask |= bit
         symbol = chr(_BASE[bracket] + mask) if mask else "\x00"
         if len(whole) <= MEMO_LENGTH:

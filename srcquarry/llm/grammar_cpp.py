@@ -81,74 +81,94 @@ def _untemplate(inside: str) -> str:
     return inside
 
 
-def _patterns() -> tuple[Reducer, re.Pattern]:
+def _patterns():
     args, params, loop, type_id, condition = (symbols("(", 1 << i) for i in range(5))
     index, attribute, capture = (symbols("[", 1 << i) for i in range(3))
     block, init, members, enums, scope = (symbols("{", 1 << i) for i in range(5))
-    any_p = "[-]"
-    name = r"(?:S?a(?:S(?:T?a))*)"
+    any_p = "[\ue000-\ue0ff]"
+    name = r"(?:S?a(?:ST?a)*)"
     attr = rf"{attribute}*"
-    type_ = rf"(?:{attr}(?:[qn]|{attribute})*(?:t[qt]*|[ce]?{name}q*|z{any_p}q*))"
     ptr = r"(?:[*&J]q*)*"
-    lam = rf"{capture}{params}?(?:[qa]|z{args}?)*(?:V{type_}{ptr})?{block}"
-    prim = rf'(?:0|"(?:"|a)*|{lam}|W{args}?{type_}\**{index}*(?:{args}|{init})?|K{args}|{args}|{name}|n{name}|t+(?={args}|{init})|z{any_p})'
-    unary = rf"(?:[U*&J!~P]|z(?!{any_p})|{type_id}|X{index}?)"
+
+    def types(leaf: str) -> str:
+        return rf"(?:(?:[qn]|{attribute})*(?:t[qt]*|[ce]?{leaf}q*|z{any_p}q*))"
+
+    type_ = types(name)
     op = rf"o(?:[UB*&J<>=!~P,]+|{any_p}|{index}|[WX]{index}?|\"a|{type_}{ptr})"
-    post = rf"(?:{args}|{index}|[.V]T?~?(?:{name}|{op})|P|{init}|E)"
-    one = rf"{unary}*{prim}{post}*"
-    bin_ = r"(?:[UB*&J<=]|>=?>?)"
-    flat = rf"{one}(?:{bin_}{one})*"
-    e = rf"(?:h(?:{flat})?|{flat}(?:\?{flat}(?:\?{flat}:{flat})*:(?:h(?:{flat})?|{flat}))*(?:={init})?)"
+    # An operand with all that follows it becomes one symbol; a name alone stays a name.
+    no_head = "(?<![ifwsCz])"
+    lam = rf"{capture}{params}?(?:[qa]|z{args}?)*(?:V{type_}{ptr})?{block}"
+    primary = rf'(?:0|"+|{lam}|W{args}?{type_}\**{index}*(?:{args}|{init})?|K{args}|{no_head}{args}|{name}(?:{init})?|n{name}(?={args}|{init})|t+(?={args}|{init})|z{any_p})'
+    post = rf"(?:{args}|{index}|[.V]T?~?(?:{name}|{op})|P|(?<!{any_p}){init}|E)"
+    operand = re.compile(rf"(?:{no_head}{type_id}[U*&J!~P]*)*{primary}{post}*")
+    plain_name = re.compile(name)
+
+    def operands(inside: str) -> str:
+        return operand.sub(lambda m: "a" if plain_name.fullmatch(m[0]) else "0" if m[0][0] in '0"' and len(m[0]) == m[0].count(m[0][0]) else "x", inside)
+
+    unary = rf"(?:[U*&J!~Ph]|z(?!{any_p})|X{index}?)*"
+    flat = rf"{unary}[ax0](?:(?:[UB*&J<=]|>=?>?){unary}[ax0])*"
+    e = rf"(?:h|{flat}(?:\?{flat}(?:\?{flat}:{flat})*:{flat})*(?:={init})?)"
     es = rf"{e}(?:,{e})*"
     value = rf"(?:{e}|{init})"
-    declarator = rf"{ptr}(?:{name}|{args}{params}|{capture})(?:{index})*{attr}(?:={value}|{args}|{init}|:{e})?"
-    decl = rf"{type_}{declarator}(?:,{declarator})*"
+    loose = types("a")
+    declarator = rf"{ptr}(?:[ax]|{args}{params}|{capture})(?:{index})*{attr}(?:={value}|{args}|{init}|:{e})?"
+    decl = rf"{loose}{declarator}(?:,{declarator})*"
+    # Outside of blocks only the values after '=' are read as operands: declarators need their parameters.
+    right = re.compile(r"(?<!o)=((?![DX0];)[^;,]*)")
+    read_value = re.compile(value)
+
+    def values(inside: str) -> str:
+        return right.sub(lambda m: "=x" if read_value.fullmatch(operands(m[1])) else "=\x00", inside)
+
+    w_declarator = rf"{ptr}(?:{name}|{args}{params}|{capture})(?:{index})*{attr}(?:=[x0]|{args}|{init}|:[a0])?"
+    w_decl = rf"{type_}{w_declarator}(?:,{w_declarator})*"
     trailer = rf"(?:[qa&J]|z{args}?|h{params}|{attribute})*(?:V{type_}{ptr})?"
-    func = rf"{attr}(?:[qn]|{attribute})*(?:{type_}{ptr})?(?:(?:S?(?:aS)*)(?:~a|{op}|a)){params}{trailer}"
-    funcdef = rf"{func}(?::{name}(?:{args}|{init})E?(?:,{name}(?:{args}|{init})E?)*)?{block}"
-    bases = rf"(?::(?:[pq]*{name}E?)(?:,[pq]*{name}E?)*)"
-    after = rf"(?:{declarator}(?:,{declarator})*)?;"
+    func = rf"(?:[qn]|{attribute})*(?:{type_}{ptr})?(?:S?(?:aS)*)(?:~a|{op}|a){params}{trailer}"
+    inits = rf"(?::{name}(?:{args}|{init})E?(?:,{name}(?:{args}|{init})E?)*)?"
+    bases = rf"(?::[pq]*{name}E?(?:,[pq]*{name}E?)*)"
+    after = rf"(?:{w_declarator}(?:,{w_declarator})*)?;"
     klass = rf"[qy]*c{attr}{name}?a?{bases}?{members}q*{after}|[qy]*e?c{name};"
     enum = rf"[qy]*ec?{attr}{name}?(?::{type_})?(?:{enums}{after}|;)"
     outer = (
-        rf"(?:;|{attr}(?:T(?:a(?=[qntcau]))?)*(?:{klass}|{enum}|{funcdef}|{func}(?:=[0DX])?;|{decl};|u{name}={type_}{ptr}{any_p}*{index}*;)"
-        rf"|q?N{attr}{name}?{scope}|N{name}={name};|q\"{scope}|q\"(?:{funcdef}|{func};|{decl};)|u(?:N|n)?(?:e)?{name}(?:,{name})*;"
-        rf"|y{decl};|y{type_}{ptr}{args}{params};|A{args};|T{type_}{declarator};)"
+        rf"(?:;|{attr}(?:T(?:a(?=[qntcau]))?)*(?:{klass}|{enum}|{func}(?:{inits}{block}|(?:=[0DX])?;)|{w_decl};|u{name}=[^;\x00]*;)"
+        rf"|q?N{attr}{name}?{scope}|N{name}=x;|q\"(?:{scope}|{func}(?:{block}|;)|{w_decl};)|u[Nne]?{name}(?:,{name})*;"
+        rf"|y{w_decl};|y{type_}{ptr}{args}{params};|A{args};|T{type_}{w_declarator};)"
     )
     control = rf"(?:iq?{condition}|f{loop}|w{condition}|s{condition}|l|d|k{flat}(?:E{flat})?:(?!:)|D:|a:(?!:)|{attribute})"
     statement = (
-        rf"(?:{control})*(?:{block}|;|{e}(?:,{e})*;|{decl};|r{value}?;|b;|ga;|u(?:N|n)?{name};|u{name}={type_}{ptr};|y{decl};"
-        rf"|Y{block}(?:C{params}{block})+|{klass}|{enum}|A{args};|{func};|N{name}={name};)"
+        rf"(?:{control})*(?:{block}|;|{e}(?:,{e})*;|{decl};|r{value}?;|b;|ga;|u[Nn]?[ax];|u[ax]={loose}{ptr};|y{decl};"
+        rf"|Y{block}(?:C{params}{block})+|[qy]*c[ax]{bases}?{members}?;|[qy]*c[ax]?{members};|[qy]*ec?[ax]?(?::{loose})?{enums}?;|A[ax];|A{args};|N[ax]=[ax];)"
     )
-    parameter = rf"{type_}{ptr}E?(?:a|{args}{params}|{index})?(?:{index})*{attr}(?:={value})?"
-    item = rf"(?:{value}|{type_}{ptr}{any_p}?)E?"
+    parameter = rf"{type_}{ptr}E?(?:a|{args}{params}|{index})?(?:{index})*{attr}(?:=x)?"
+    item = rf"(?:{value}|{loose}{ptr}{any_p}?)E?"
     element = rf"(?:(?:(?:\.a|{index})+=?)?{value}E?|a:{value})"
     readings = {
         "(": [
-            (1, rf"(?:{item}(?:,{item})*)?|{ptr}{name}?|{type_}{ptr}"),
-            (2, rf"(?:{parameter}(?:,{parameter})*(?:,?E)?|E|t)?"),
-            (4, rf"(?:{decl}|{es})?;(?:{e}|{decl})?;(?:{es})?|(?:(?:{decl}|{es});)?{type_}{ptr}(?:a|{index}|{capture}):{value}"),
-            (8, rf"{type_}{ptr}(?:{any_p}{{1,2}})?{index}*"),
-            (16, rf"(?:(?:{decl}|{es})?;)?(?:{es}|{decl})"),
+            (1, "operands", rf"(?:{item}(?:,{item})*)?|{ptr}a?|{loose}{ptr}"),
+            (2, "values", rf"(?:{parameter}(?:,{parameter})*(?:,?E)?|E|t)?"),
+            (4, "operands", rf"(?:{decl}|{es})?;(?:{e}|{decl})?;(?:{es})?|(?:(?:{decl}|{es});)?{loose}{ptr}(?:a|{index}|{capture}):{value}"),
+            (8, "raw", rf"{type_}{ptr}(?:{any_p}{{1,2}})?{index}*"),
+            (16, "operands", rf"(?:(?:{decl}|{es})?;)?(?:{es}|{decl})"),
         ],
         "[": [
-            (1, rf"(?:{value}(?:E{value})?)?"),
-            (2, "[-]"),
-            (4, rf"(?:[&=]|(?:[&*]?(?:a|0)E?(?:={value})?))?(?:,&?(?:a|0)E?(?:={value})?)*"),
+            (1, "operands", rf"(?:{value}(?:E{value})?)?"),
+            (2, "raw", "[\ue100-\ue1ff]"),
+            (4, "values", r"(?:[&=]|(?:[&*]?[a0]E?(?:=x)?))?(?:,&?[a0]E?(?:=x)?)*"),
         ],
         "{": [
-            (1, rf"(?>{statement})*"),
-            (2, rf"(?:{element}(?:,{element})*,?)?"),
-            (4, rf"(?>p(?:a)?:|{outer})*"),
-            (8, rf"(?:a{attr}(?:={e})?(?:,a{attr}(?:={e})?)*,?)?"),
-            (16, rf"(?>{outer})*"),
+            (1, "operands", rf"(?>{statement})*"),
+            (2, "operands", rf"(?:{element}(?:,{element})*,?)?"),
+            (4, "values", rf"(?>pa?:|{outer})*"),
+            (8, "values", rf"(?:a{attr}(?:=x)?(?:,a{attr}(?:=x)?)*,?)?"),
+            (16, "values", rf"(?>{outer})*"),
         ],
     }
-    return Reducer(readings, _untemplate), re.compile(rf"(?>{outer})*")
+    return Reducer(readings, {"raw": str, "operands": operands, "values": values}, _untemplate), re.compile(rf"(?>{outer})*"), values
 
 
 _SYMBOLS = TokenSymbols(_classify)
-_REDUCER, _UNIT = _patterns()
+_REDUCER, _UNIT, _UNIT_VIEW = _patterns()
 
 
 def valid(text: str) -> bool:
@@ -166,4 +186,4 @@ def valid(text: str) -> bool:
     if "\x00" in skeleton:
         return False
     flat = _REDUCER.reduce(skeleton)
-    return flat is not None and _UNIT.fullmatch(_untemplate(flat)) is not None
+    return flat is not None and _UNIT.fullmatch(_UNIT_VIEW(_untemplate(flat))) is not None

@@ -9,7 +9,7 @@ from .grammar_common import Reducer, TokenSymbols, symbols
 # The keywords of the language, with the symbols used here.
 _WORDS = {
     "package": "p", "import": "m", "func": "F", "type": "y", "struct": "S", "interface": "I", "map": "M", "chan": "c",
-    "var": "v", "const": "C", "if": "i", "else": "l", "for": "f", "range": "R", "switch": "s", "select": "x", "case": "k",
+    "var": "v", "const": "C", "if": "i", "else": "l", "for": "f", "range": "R", "switch": "s", "select": "X", "case": "k",
     "default": "D", "return": "r", "break": "b", "continue": "b", "fallthrough": "b", "goto": "g", "defer": "d", "go": "d",
 }
 _OPS = {":=": "W", "++": "P", "--": "P", "<-": "A", "...": "E", "*": "*", "&": "&", "!": "!", "=": "=", "+": "u", "-": "u", "^": "u", "~": "u"}
@@ -47,69 +47,79 @@ def _classify(token: str) -> str:
     return token if c in ".,;:(){}[]" and len(token) == 1 else "\x00"
 
 
-def _patterns() -> tuple[Reducer, re.Pattern]:
-    args, params, imports, group, of_type, types = (symbols("(", 1 << i) for i in range(6))
+def _patterns():
+    args, params, imports, group, of_type, _ = (symbols("(", 1 << i) for i in range(6))
     index, size, generic = (symbols("[", 1 << i) for i in range(3))
     block, literal, fields, methods, clauses = (symbols("{", 1 << i) for i in range(5))
+    type_name = re.compile(rf"a(?:\.a)?{generic}?")
     base = rf"(?:a(?:\.a)?{generic}?|S{fields}|I{methods}|{of_type})"
     prefix = rf"(?:\*|{size}|A?cA?|M{generic})"
     plain = rf"(?:{prefix}*{base})"
     type_ = rf"(?:{prefix}*(?:{base}|F{params}(?:{params}|{plain})?))"
-    function = rf"F{params}(?:{params}|{type_})?{block}"
-    unary = r"[u*&!A]"
-
-    def expression(composite: bool) -> str:
-        lit = f"|{literal}" if composite else ""
-        operand = rf'(?:0|"|{function}|(?:{prefix})+{base}(?:{args}|{literal})|S{fields}{literal}|F{params}(?:{params}|{plain})?(?={args})|a|{args}|{of_type})'
-        post = rf"(?:\.a|\.{of_type}|{index}|{generic}|{args}{lit})"
-        one = rf"{unary}*{operand}{post}*"
-        return rf"{one}(?:[uB*&]{one})*"
-
-    def simple(e: str) -> str:
-        es = rf"{e}(?:,{e})*"
-        return rf"(?:{es}(?:P|[=W]{es}|A{e})?)"
-
-    e, h = expression(True), expression(False)
-    es, simple_h = rf"{e}(?:,{e})*", simple(h)
-    head = rf"(?:(?:{simple_h})?;)?{h}{block}"
+    # An operand with all that follows it becomes one symbol; a name alone stays a name. Literals after a bare
+    # type name stay, because a block may follow a name in the head of a statement.
+    post = rf"(?:\.a|\.{of_type}|{index}|{generic}|{args})"
+    operand = re.compile(
+        rf'(?:0|"|F{params}(?:{params}|{type_})?{block}|F{params}(?:{params}|{plain})?(?={args})|{prefix}+{base}(?:{args}|{literal})|S{fields}{literal}|a|{args}|{of_type}){post}*'
+    )
+
+    def operands(inside: str) -> str:
+        return operand.sub(lambda m: "a" if type_name.fullmatch(m[0]) else "x", inside)
+
+    unary = r"[u*&!A]*"
+    head = rf"{unary}[ax](?:[uB*&]{unary}[ax])*"
+    one = rf"{unary}[ax](?:{literal}{post}*)?"
+    e = rf"{one}(?:[uB*&]{one})*"
+
+    def simple(x: str) -> str:
+        return rf"(?:{x}(?:,{x})*(?:P|[=W]{x}(?:,{x})*|A{x})?)"
+
+    es, simple_head, simple_any = rf"{e}(?:,{e})*", simple(head), simple(e)
+    test = rf"(?:(?:{simple_head})?;)?{head}{block}"
     spec = rf"a(?:,a)*(?:{type_})?(?:={es})?"
     type_spec = rf"a{generic}?=?{type_}"
+    arg = rf"(?:{e}|{type_})"
     statement = (
-        rf"(?:i{head}(?:li{head})*(?:l{block})?"
-        rf"|f(?:(?:{simple_h})?;(?:{h})?;(?:{simple_h})?|(?:{h}(?:,{h})*[=W])?R{h}|{h})?{block}"
-        rf"|s(?:(?:{simple_h})?;)?(?:{simple_h})?{clauses}|x{clauses}|{block}"
-        rf"|r(?:{es})?|d{e}|ba?|ga|[vC](?:{spec}|{group})|y(?:{type_spec}|{group})|a:(?!=)|{simple(e)})"
+        rf"(?:i{test}(?:li{test})*(?:l{block})?"
+        rf"|f(?:(?:{simple_head})?;(?:{head})?;(?:{simple_head})?|(?:{head}(?:,{head})*[=W])?R{head}|{head})?{block}"
+        rf"|s(?:(?:{simple_head})?;)?(?:{simple_head})?{clauses}|X{clauses}|{block}"
+        rf"|r(?:{es})?|d{e}|ba?|ga|[vC](?:{spec}|{group})|y(?:{type_spec}|{group})|{simple_any})"
     )
-    arg = rf"(?:{e}|{type_})"
     statements = rf"(?:(?>a:)?(?>{statement})?;)*(?>a:)?(?>{statement})?"
     element = rf"(?:(?:{e}|{literal}):)?(?:{e}|{literal})"
     parameter = rf"(?:aE?{type_}|E?{type_})"
     field = rf'(?:a(?:,a)*{type_}|\*?a(?:\.a)?{generic}?)"?'
     method = rf"(?:a{params}(?:{params}|{type_})?|u?{type_}(?:Bu?{type_})*)"
+    types = rf"(?:a?u?{type_}(?:Bu?{type_})*)(?:,a?u?{type_}(?:Bu?{type_})*)*,?"
     readings = {
         "(": [
-            (1, rf"(?:{arg}(?:,{arg})*E?,?)?"),
-            (2, rf"(?:{parameter}(?:,{parameter})*,?)?"),
-            (4, r'(?:;|[a.]?";?)*'),
-            (8, rf"(?:;|(?:{spec}|{type_spec});?)*"),
-            (16, rf"(?:y|{type_})"),
+            (1, "operands", rf"(?:{arg}(?:,{arg})*E?,?)?"),
+            (2, "raw", rf"(?:{parameter}(?:,{parameter})*,?)?"),
+            (4, "raw", r'(?:;|[a.]?";?)*'),
+            (8, "operands", rf"(?:;|(?:{spec}|{type_spec});?)*"),
+            (16, "raw", rf"(?:y|{type_})"),
         ],
-        "[": [(1, rf"(?:{e}|(?:{e})?:(?:{e})?(?::{e})?),?"), (2, rf"(?:{e}|E)?"), (4, rf"(?:a?u?{type_}(?:Bu?{type_})*)(?:,a?u?{type_}(?:Bu?{type_})*)*,?")],
+        "[": [(1, "operands", rf"(?:{e}|(?:{e})?:(?:{e})?(?::{e})?),?"), (2, "operands", rf"(?:{e}|E)?"), (4, "raw", types)],
         "{": [
-            (1, statements),
-            (2, rf"(?:{element}(?:,{element})*,?)?"),
-            (4, rf"(?:;|{field};?)*"),
-            (8, rf"(?:;|{method};?)*"),
-            (16, rf";*(?:(?:k(?:{arg}(?:,{arg})*|{simple(e)})|D):{statements})*"),
+            (1, "operands", statements),
+            (2, "operands", rf"(?:{element}(?:,{element})*,?)?"),
+            (4, "raw", rf"(?:;|{field};?)*"),
+            (8, "raw", rf"(?:;|{method};?)*"),
+            (16, "operands", rf";*(?:(?:k(?:{arg}(?:,{arg})*|{simple_any})|D):{statements})*"),
         ],
     }
-    top = rf'(?:F{params}?a{generic}?{params}(?:{params}|{type_})?{block}?|[vC](?:{spec}|{group})|y(?:{type_spec}|{group}))'
-    unit = rf';*pa(?:;+m(?:[a.]?"|{imports}))*(?:;+(?>{top}))*;*'
-    return Reducer(readings), re.compile(unit)
+    top = rf"(?:F{params}?a{generic}?{params}(?:{params}|{type_})?{block}?|[vC](?:{spec}|{group})|y(?:{type_spec}|{group}))"
+    unit = re.compile(rf';*pa(?:;+m(?:[a.]?"|{imports}))*(?:;+(?>{top}))*;*')
+    values = re.compile(r"=([^;]*)")
+
+    def unit_view(flat: str) -> str:
+        return values.sub(lambda m: "=" + operands(m[1]), flat)
+
+    return Reducer(readings, {"raw": str, "operands": operands}), unit, unit_view
 
 
 _SYMBOLS = TokenSymbols(_classify)
-_REDUCER, _UNIT = _patterns()
+_REDUCER, _UNIT, _UNIT_VIEW = _patterns()
 _SEMICOLON = re.compile(r"(?<=[a0\"brP)\]}])\n+")
 
 
@@ -119,4 +129,4 @@ def valid(text: str) -> bool:
     if "\x00" in skeleton:
         return False
     flat = _REDUCER.reduce(_SEMICOLON.sub(";", skeleton).replace("\n", ""))
-    return flat is not None and _UNIT.fullmatch(flat) is not None
+    return flat is not None and _UNIT.fullmatch(_UNIT_VIEW(flat)) is not None
