@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .doc_pairs import doc_pairs
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunk").where(F.col("type") != "other")
-    return doc_pairs(chunks, key="chunk_id", language="language", body="body", doc="doc")
+    chunks = table(spark, sf_dir, "chunk").where(F.col("type") != "other").select("chunk_id", "language", "body", "doc")
+    return doc_pairs(spread(chunks), key="chunk_id", language="language", body="body", doc="doc")
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

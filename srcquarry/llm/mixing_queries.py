@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import cut, table
+from ..tables import cut, spread, table
 from .mixing import mix_blocks, mix_report, sized_records
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    sized = cut(sized_records(table(spark, sf_dir, "documents"), targets, key="doc_id", text="text", source="source"))
+    sized = cut(sized_records(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), targets, key="doc_id", text="text", source="source"))
     return mix_blocks(sized, targets, key="doc_id")[0], targets
 
 

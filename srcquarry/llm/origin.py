@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,13 +27,18 @@ def _copy_of(own: set, every: set, known: list[tuple[str, set]]) -> str | None:
     return best[1] if best[0] >= COPY_SIMILARITY else None
 
 
+def _hash64(shingle: tuple[str, ...]) -> int:
+    """The same on every executor, unlike the interpreter's own hash."""
+    return int.from_bytes(hashlib.blake2b("\0".join(shingle).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _copies_by_join(files: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     """Files that are copies of a known one, by a join on shingle hashes; both sides may be large."""
 
     def hashes(df: DataFrame, id_: str, body: str) -> DataFrame:
         def run(batches):
             for b in batches:
-                sets = [sorted({hash(" ".join(s)) for s in shingles(t)}) if t else [] for t in b.column(1).to_pylist()]
+                sets = [sorted({_hash64(s) for s in shingles(t)}) if t else [] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hs"])
 
         return df.select(F.col(id_).cast("string").alias("id"), F.col(body).alias("t")).dropDuplicates(["id"]).mapInArrow(run, "id string, hs array<bigint>")
@@ -78,7 +84,7 @@ def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str,
                         own = shingles(body)
                         copy = _copy_of(own, every, sets) if own and sets else None
                         origin = "vendored" if copy else looks(body, lang)
-                    if origin and judge(body, lang)[0] is False:
+                    if (origin or not small) and judge(body, lang)[0] is False:
                         origin, copy = "invalid", None
                 origins.append(origin or "hand-written")
                 copies.append(copy)

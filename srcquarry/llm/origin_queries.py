@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .origin import classify_origin
 
 
 def p6_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The origin of every file; a file delivered again counts once."""
     known = table(spark, sf_dir, "upstream_files").select(F.concat_ws("/", "lib_name", "file_name").alias("name"), "content")
-    files = table(spark, sf_dir, "source_file").withColumn("path_in_repo", F.coalesce("relative_path", "file_path"))
-    found = classify_origin(files, known, key="file_path", path="path_in_repo", text="content", language="language")
+    path = F.coalesce("relative_path", "file_path").alias("path_in_repo")
+    files = table(spark, sf_dir, "source_file").select("file_path", path, "language", "content")
+    found = classify_origin(spread(files), known, key="file_path", path="path_in_repo", text="content", language="language")
     return found.dropDuplicates(["file_path"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .packing import pack_documents
 
 
@@ -16,7 +16,8 @@ def _capacity(spark: SparkSession, sf_dir: str) -> int:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in containers, with the content of each container."""
-    return pack_documents(table(spark, sf_dir, "documents"), key="doc_id", text="text", capacity=_capacity(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(spread(documents), key="doc_id", text="text", capacity=_capacity(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .reading import reading_levels
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
-    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), key="doc_id", text="text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return reading_levels(documents, table(spark, sf_dir, "reading_labels"), key="doc_id", text="text")
 
 
 def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

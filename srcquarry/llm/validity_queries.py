@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .validity import invalid_rates, judge_files
 
 
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every file; a file delivered again counts once."""
-    files = table(spark, sf_dir, "source_file")
-    judged = judge_files(files, key=["file_path", "repo_dir", "language"], text="content", language="language")
+    files = table(spark, sf_dir, "source_file").select("file_path", "repo_dir", "language", "content")
+    judged = judge_files(spread(files), key=["file_path", "repo_dir", "language"], text="content", language="language")
     return judged.dropDuplicates(["file_path"])
 
 
