@@ -34,7 +34,6 @@ _FOR = re.compile(r"\bfor\s*\([^){}]*;[^){}]*;")
 _TOP = re.compile(r"^[^\s})\]]", re.M)
 _NUMBERED = re.compile(r"^(?:func \([^)\n]*\) |[^\s})\]][^\n(=]*?)?[A-Za-z_]{3,}\d+\b", re.M)
 _LOGIC = re.compile(r"\b(?:def|func|return|import|class|for|if|lambda|while|switch)\b|^[ \t]*#[ \t]*include", re.M)
-_KNOWN = re.compile(r"\w+|[^\w\s]")
 _HEAD_END = re.compile(r"\s*(?://|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|undef|line)\b)|/\*|\*|<!--|\"\"\"|'''|;|--)")
 _KEYWORDS = frozenset(
     "def class func type struct interface const var static inline constexpr int long void bool auto return import from package if for while switch template public private async int32 int64 string byte map range enum namespace lambda".split()
@@ -148,8 +147,8 @@ def layout(text: str, language: str | None) -> Layout:
 
 
 def shingles(text: str, size: int = 5) -> set[tuple[str, ...]]:
-    """Sets of ``size`` tokens in a row; comments count like code, white space does not."""
-    t = _KNOWN.findall(text)
+    """The sets of ``size`` words in a row, words being what white space separates: layout does not count."""
+    t = text.split()
     return set(zip(*[t[i:] for i in range(size)])) if len(t) >= size else {tuple(t)} if t else set()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .layout import bundled, looks, shingles
 from .validity import judge
 
-#: Share of shingles of five tokens (Jaccard) from which a file is a copy of a known file.
+#: Share of shingles of five words (Jaccard) from which a file is a copy of a known file.
 COPY_SIMILARITY = 0.8
 #: Known files up to these bounds are sent to all tasks; above, files are joined to them by shingles.
 MAX_KNOWN_FILES = 2_000
@@ -54,7 +54,7 @@ def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str,
     """One row per row of ``files``: key, ``origin`` and ``copy_of``.
 
     ``origin`` is 'hand-written', 'generated', 'minified', 'vendored' or 'data'. A file in a directory
-    for bundled code, with the text of a known file (``known``: name, content; similarity of five-token
+    for bundled code, with the text of a known file (``known``: name, content; similarity of five-word
     shingles 0.8 or more) or with a head comment that says so is vendored. Otherwise the file is lexed
     and written in canonical form: extreme expansion marks minified files, uniform numbered
     declarations generated ones, dominance of literal data blobs. A file that is not valid in its
