@@ -13,6 +13,7 @@ def valid(text: str) -> bool:
     Building a symbol table needs no objects for the tree and is faster; the few texts it rejects are
     parsed once more, because it also rejects some texts that are syntactically valid.
     """
+    text = text.removeprefix("\ufeff")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
