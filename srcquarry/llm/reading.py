@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +144,8 @@ def _arrays(b: pa.RecordBatch, names: list[str]):
     return cols, row, flat
 
 
-def _sums(vectors: DataFrame, model: Model | None) -> dict[tuple[str, str], dict[int, float]]:
-    """Totals over all documents: (language, kind) -> index -> value. Their number is bounded by the model's size."""
+def _sums(vectors: DataFrame, model: Model | None) -> dict[tuple[str, str], np.ndarray]:
+    """Totals over all documents: (language, kind) -> values by index. Their number is bounded by the model's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], np.ndarray] = {}
@@ -201,18 +202,25 @@ def _sums(vectors: DataFrame, model: Model | None) -> dict[tuple[str, str], dict
             ["lang", "kind", "i", "v"],
         )
 
-    rows = vectors.mapInArrow(run, "lang string, kind string, i int, v double").groupBy("lang", "kind", "i").agg(F.sum("v").alias("v"))
-    found: dict[tuple[str, str], dict[int, float]] = {}
-    for r in rows.collect():  # at most a few numbers for each item of the model
-        found.setdefault((r["lang"], r["kind"]), {})[r["i"]] = r["v"]
+    # One partial sum per task, and few tasks: what is shuffled is bounded by the model's size times the cores.
+    few = vectors.coalesce(2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    sums = few.mapInArrow(run, "lang string, kind string, i int, v double").groupBy("lang", "kind", "i").agg(F.sum("v").alias("v")).toArrow()
+    found: dict[tuple[str, str], np.ndarray] = {}
+    index, value = sums.column("i").to_numpy(), sums.column("v").to_numpy()
+    name = pc.binary_join_element_wise(sums.column("lang"), sums.column("kind"), " ").combine_chunks().dictionary_encode() if sums.num_rows else None
+    if name is not None:
+        codes = name.indices.to_numpy()
+        for k, both in enumerate(name.dictionary.to_pylist()):
+            lang, kind = both.split(" ")
+            own = codes == k
+            size = {"hist": len(GRID), "grades": 3}.get(kind, ITEMS)
+            found[lang, kind] = np.zeros(size)
+            found[lang, kind][index[own]] = value[own]
     return found
 
 
-def _dense(d: dict[int, float] | None, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for i, v in (d or {}).items():
-        out[i] = v
-    return out
+def _dense(v: np.ndarray | None, size: int) -> np.ndarray:
+    return np.zeros(size) if v is None else v
 
 
 def fit(vectors: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -230,7 +238,7 @@ def fit(vectors: DataFrame, rounds: int = ROUNDS) -> Model:
             continue
         model.p[lang] = n / n.sum()
         gn, gs = _dense(first.get((lang, "gn")), ITEMS), _dense(first.get((lang, "gs")), ITEMS)
-        if first.get((lang, "grades"), {}).get(0, 0) >= 5:
+        if _dense(first.get((lang, "grades")), 3)[0] >= 5:
             mean = gs.sum() / max(gn.sum(), 1.0)
             model.b[lang] = (gs - mean * gn) / (gn + WORD_PRIOR)
         else:
