@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.identity import content_hash, project_identity, row_id, within_size
 from ..functions.routing import LANGUAGES, WALK_SKIP, route_language, skipped
 from ..functions.text import is_blank, lines_keepends, newlines
+from ..functions.tokenizers import bpe_counter
 from ..functions.vectors import similarity
 from ..operators.code import parse_files
 from ..operators.diff import fingerprints_differ, plan_diff, plan_status
 from ..operators.markdown import clean_title, fenced_flags, heading_paths, headings, numbered_lines, sections
 from ..operators.packing import pack_long
 from ..operators.search import hash_embedding, path_filter, top_k, top_k_batch
-from ..operators.slicing import char_slices, compose, prepare
+from ..operators.slicing import char_slices, compose, prepare, token_slices
 from ..operators.windows import overlapping_windows, uncovered
-from ..tables import latest, table
+from ..tables import latest, spread, table
 from .render import hit_fields, hit_text
 
 # --- tables without deliveries counted twice ------------------------------------------------------
@@ -226,6 +227,11 @@ _HEADS = f"""{_FENCED},
     FROM h0 WHERE atx OR (NOT fenced AND regexp_matches(line, '{_BLANK}') AND NOT coalesce(nf, true) AND regexp_matches(nl, '^[ \\t]*(=+|-+)[ \\t]*$')))"""
 
 
+_PATHS = """a AS (SELECT h.*, p.title AS pt, p.line_no AS pn FROM h LEFT JOIN h p ON p.file_path = h.file_path AND p.line_no < h.line_no AND p.level < h.level
+      AND NOT EXISTS (SELECT 1 FROM h q WHERE q.file_path = h.file_path AND q.line_no > p.line_no AND q.line_no < h.line_no AND q.level <= p.level)),
+    hp AS (SELECT file_path, line_no, level, title, concat_ws(' > ', string_agg(pt, ' > ' ORDER BY pn), title) AS heading_path FROM a GROUP BY file_path, line_no, level, title)"""
+
+
 def _markdown(spark, sf_dir):
     return _files(spark, sf_dir).where((F.col("language") == "markdown") & ~is_blank(F.col("content")))
 
@@ -243,19 +249,23 @@ def md_headings(spark, sf_dir):
     return headings(numbered_lines(_markdown(spark, sf_dir), key="file_path", text="content"), key="file_path")
 
 
-@query(
-    f"""WITH {_HEADS},
-    a AS (SELECT h.*, p.level AS pl, p.title AS pt, p.line_no AS pn FROM h LEFT JOIN h p ON p.file_path = h.file_path AND p.line_no < h.line_no AND p.level < h.level
-      AND NOT EXISTS (SELECT 1 FROM h q WHERE q.file_path = h.file_path AND q.line_no > p.line_no AND q.line_no < h.line_no AND q.level <= p.level))
-    SELECT file_path, line_no, level, title, concat_ws(' > ', string_agg(pt, ' > ' ORDER BY pn), title) AS heading_path FROM a GROUP BY file_path, line_no, level, title"""
-)
+@query(f"WITH {_HEADS}, {_PATHS} SELECT file_path, line_no, level, title, heading_path FROM hp")
 def md_heading_path(spark, sf_dir):
     """Headings with the path of the headings above them."""
     found = headings(numbered_lines(_markdown(spark, sf_dir), key="file_path", text="content"), key="file_path")
     return heading_paths(found, key="file_path")
 
 
-@query()
+@query(
+    f"""WITH {_HEADS}, {_PATHS},
+    w AS (SELECT file_path, u.i AS line_no, u.raw AS raw FROM (SELECT file_path, unnest(list_transform(range(1, len(string_split(content, chr(10))) + 1),
+      lambda i: {{'i': i, 'raw': string_split(content, chr(10))[i] || CASE WHEN i < len(string_split(content, chr(10))) THEN chr(10) ELSE '' END}})) AS u
+      FROM {_F} WHERE language = 'markdown' AND regexp_matches(content, '{_BLANK}')) WHERE u.raw <> ''),
+    s AS (SELECT w.*, coalesce((SELECT max(hp.line_no) FROM hp WHERE hp.file_path = w.file_path AND hp.line_no <= w.line_no), 0) AS hl FROM w),
+    g AS (SELECT file_path, hl, max(line_no) AS end_line, string_agg(raw, '' ORDER BY line_no) AS body, list_last(string_split(file_path, '/')) AS fname FROM s GROUP BY file_path, hl)
+    SELECT g.file_path, greatest(hl, 1) AS start_line, end_line, coalesce(level, 0) AS level, coalesce(title, fname) AS title, coalesce(heading_path, fname) AS heading_path, body
+    FROM g LEFT JOIN hp ON hp.file_path = g.file_path AND hp.line_no = g.hl WHERE hl > 0 OR regexp_matches(body, '{_BLANK}')"""
+)
 def md_sections(spark, sf_dir):
     """Sections of all Markdown files."""
     return sections(_markdown(spark, sf_dir), key="file_path", text="content", name=F.element_at(F.split("file_path", "/"), -1))
@@ -353,6 +363,13 @@ def doc_comment_rows(spark, sf_dir):
     return rows.groupBy("chunk_id", "associated_type").agg(F.count("*").alias("slices"))
 
 
+@query()
+def slices_tokens(spark, sf_dir):
+    """Slices of all chunks under a budget of 256 tokens of a public subword tokenizer."""
+    chunks = spread(_chunks(spark, sf_dir).select("chunk_id", "body", "doc"))
+    return token_slices(chunks, bpe_counter()).select("chunk_id", "source_field", "char_start", "char_end", "token_count")
+
+
 # --- planning and building ------------------------------------------------------------------------
 
 
