@@ -157,6 +157,23 @@ def _windows(text: str, line: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _members(body: str, parent: str, line: int) -> list[tuple]:
+    """The members of a long class or namespace as chunks of their own, named ``Parent::child``; trifles are left out."""
+    inner = body.find("{") + 1
+    end = body.rfind("}")
+    out = []
+    for n in _cpp(re.sub(r"\b(?:public|private|protected)\s*:(?!:)", lambda m: " " * len(m[0]), body[inner:end])):
+        own = body[inner + n.start : inner + n.end]
+        if len(own.strip()) < 10:
+            continue
+        first = line + body.count("\n", 0, inner + n.start)
+        kind = "member" if n.type == "variable" else n.type
+        parts = [(own, first, first + own.count("\n"))] if len(own) <= LIMIT else _windows(own, first)
+        signature = n.signature if len(own) <= LIMIT else ""
+        out += [(kind, f"{parent}::{n.name}", signature, b, n.doc, x, y) for b, x, y in parts]
+    return out
+
+
 def chunks_of(text: str, language: str) -> list[tuple]:
     """(type, name, signature, body, doc, start_line, end_line) of a file: the text between symbols first, then the symbols."""
     nodes = _PARSERS[language](text)
@@ -168,8 +185,12 @@ def chunks_of(text: str, language: str) -> list[tuple]:
         at = n.end
         if n.type:
             body, line = text[n.start : n.end], 1 + text.count("\n", 0, n.start)
-            parts = [(body, line, line + body.count("\n"))] if len(body) <= LIMIT else _windows(body, line)
-            symbols += [(n.type, n.name, n.signature, b, n.doc, x, y) for b, x, y in parts]
+            if len(body) <= LIMIT:
+                symbols.append((n.type, n.name, n.signature, body, n.doc, line, line + body.count("\n")))
+            elif language == "cpp" and n.type in ("class", "struct", "namespace"):
+                symbols += _members(body, n.name, line)
+            else:
+                symbols += [(n.type, n.name, n.signature, b, n.doc, x, y) for b, x, y in _windows(body, line)]
     return gaps + symbols
 
 

@@ -52,3 +52,10 @@ def test_go_and_cpp_chunks():
 def test_long_symbols_are_cut_with_overlap():
     got = chunks_of("def f():\n" + "    x = 1\n" * 400, "python")
     assert len(got) > 1 and all(len(c[3]) <= 2000 for c in got) and all(c[2] == "def f():" for c in got)
+
+
+def test_long_cpp_classes_are_split_into_members():
+    body = "class A {\n public:\n" + "".join(f"  // doc {i}\n  int f{i}(int a) {{\n    return a * {i} + 1000000;\n  }}\n" for i in range(60)) + " private:\n  int field_ = 12345;\n};\n"
+    got = [c for c in chunks_of("#include <x>\n" + body, "cpp") if c[0] != "other"]
+    assert [c[1] for c in got] == [f"A::f{i}" for i in range(60)] + ["A::field_"]
+    assert got[3][4] == "// doc 3" and got[3][5:] == (17, 19) and got[-1][0] == "member"
