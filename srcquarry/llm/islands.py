@@ -155,7 +155,7 @@ def cpp_pairs(body: str, doc: str) -> list[Pair]:
         c = m[0]
         if c[0] == "/":
             if depth == 0 and not body[start : m.start()].strip():
-                if not comments and "\n" not in body[start : m.start()] and found:
+                if not comments and "\n" not in body[start : m.start()]:
                     continue  # behind code on the same line
                 comments.append(c)
                 start = m.end()
