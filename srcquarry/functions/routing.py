@@ -15,26 +15,51 @@ class Language(NamedTuple):
     skip_names: tuple[str, ...]
 
 
-# File suffixes, directory names and file name patterns of each language, in the order of routing.
-_TESTS = "test tests testing unittest unittests unit_test unit_tests benchmark benchmarks example examples sample samples demo demos doc docs documentation"
-_BUNDLED = "third_party thirdparty 3rdparty external vendor deps"
-_VCS = ".git .svn .hg __pycache__ node_modules"
-_CACHES = ".pytest_cache .mypy_cache .tox .venv venv"
-_CPP_NAMES = r"\.(?:cpp|cc|cxx|c|h|hpp)$"
-
+# File suffixes, skipped directories and skipped file names of each language, in the order of routing.
 LANGUAGES = (
     Language(
         "cpp",
         tuple("cpp cc cxx c h hpp hxx hh inl ipp".split()),
-        tuple(f"{_TESTS} {_BUNDLED} {_VCS} gtest gmock mock mocks boost build cmake-build cmake-build-debug cmake-build-release out output bin lib obj".split()),
-        (f"_test{_CPP_NAMES}", f"_unittest{_CPP_NAMES}", rf"test_.*{_CPP_NAMES}", f"_mock{_CPP_NAMES}", f"_benchmark{_CPP_NAMES}", f"_example{_CPP_NAMES}"),
+        tuple(
+            "test tests testing unittest unittests unit_test unit_tests gtest gmock mock mocks benchmark benchmarks example examples sample samples "
+            "demo demos doc docs documentation third_party thirdparty 3rdparty external vendor deps boost build cmake-build cmake-build-debug "
+            "cmake-build-release out output bin lib obj .git .svn .hg __pycache__ node_modules".split()
+        ),
+        (
+            r"_test\.(?:cpp|cc|cxx|c|h|hpp)$",
+            r"_unittest\.(?:cpp|cc|cxx|c|h|hpp)$",
+            r"test_.*\.(?:cpp|cc|cxx|c|h|hpp)$",
+            r"_mock\.(?:cpp|cc|cxx|c|h|hpp)$",
+            r"_benchmark\.(?:cpp|cc|cxx|c|h|hpp)$",
+            r"_example\.(?:cpp|cc|cxx|c|h|hpp)$",
+        ),
+    ),
+    Language(
+        "python",
+        ("py",),
+        tuple(
+            "test tests testing unittest unittests unit_test unit_tests benchmark benchmarks example examples sample samples demo demos doc docs "
+            "documentation third_party thirdparty 3rdparty external vendor deps build dist out output .git .svn .hg __pycache__ .pytest_cache "
+            ".mypy_cache .tox .venv venv node_modules".split()
+        ),
+        (r"test_.*\.py$", r"_test\.py$", r"_benchmark\.py$", r"_example\.py$"),
+    ),
+    Language(
+        "go",
+        ("go",),
+        tuple(
+            "test tests testing unittest unittests unit_test unit_tests benchmark benchmarks example examples sample samples demo demos doc docs "
+            "documentation third_party thirdparty 3rdparty external vendor deps build dist out output .git .svn .hg __pycache__ node_modules".split()
+        ),
+        (r"_test\.go$", r"_benchmark\.go$", r"_example\.go$"),
     ),
-    Language("python", ("py",), tuple(f"{_TESTS} {_BUNDLED} {_VCS} {_CACHES} build dist out output".split()), (r"test_.*\.py$", r"_test\.py$", r"_benchmark\.py$", r"_example\.py$")),
-    Language("go", ("go",), tuple(f"{_TESTS} {_BUNDLED} {_VCS} build dist out output".split()), (r"_test\.go$", r"_benchmark\.go$", r"_example\.go$")),
     Language(
         "markdown",
         tuple("md markdown mdown mkd mdx".split()),
-        tuple(f"{_VCS} {_CACHES} bower_components {_BUNDLED} build dist out output target bazel-bin bazel-out _build site .docusaurus .next .nuxt".split()),
+        tuple(
+            ".git .svn .hg .pytest_cache .mypy_cache .tox .venv venv __pycache__ node_modules bower_components third_party thirdparty 3rdparty "
+            "external vendor deps build dist out output target bazel-bin bazel-out _build site .docusaurus .next .nuxt".split()
+        ),
         (r"\.generated\.md$",),
     ),
 )
