@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from copy import copy
 
 _INNER = re.compile(r"([(\[{])([^()\[\]{}]*)([)\]}])")
 _PAIR = {"(": ")", "[": "]", "{": "}"}
@@ -54,6 +55,12 @@ class Reducer:
         self.tidy = tidy
         self.memo: dict[str, str] = {}
 
+    def with_tidy(self, tidy: Callable[[str], str]) -> "Reducer":
+        """The same readings behind another tidying of the contents."""
+        other = copy(self)
+        other.tidy, other.memo = tidy, {}
+        return other
+
     def group(self, m: re.Match) -> str:
         whole = m[0]
         known = self.memo.get(whole)

@@ -167,13 +167,52 @@ def _patterns():
     return Reducer(readings, {"raw": str, "operands": operands, "values": values}, _untemplate), re.compile(rf"(?>{outer})*"), values
 
 
+#: Names in capitals may be macros that stand for something other than an expression.
+_MACRO = re.compile(r"(?:[A-Z_][A-Z0-9]*_[A-Z0-9_]*|[A-Z][A-Z0-9]{3,}|__\w+|[A-Z]\w*API\w*_[A-Z]+)")
+_PAREN = "[\ue000-\ue0ff]"
+_MACRO_TYPE = re.compile(rf"m{_PAREN}(?=[*&q]*[am])")
+_MACRO_BEFORE = re.compile(rf"(?:^|(?<=[;\ue200-\ue2ff]))(?:m{_PAREN}?;?)+(?=[qtnceyTNuam]|$)")
+_MACRO_AFTER = re.compile(rf"(?<=[\ue000-\ue1ffaq])(?:m{_PAREN}?)+(?=[;,={{\ue200-\ue2ff]|$)")
+_MACRO_INSIDE = re.compile(rf"(?<=[qtce])m{_PAREN}?(?=[qtcea*])")
+
+
+def _without_macros(inside: str) -> str:
+    """The contents of a group with macros that wrap or decorate declarations taken out; others are names."""
+    if "m" in inside:
+        inside = _MACRO_TYPE.sub("t", inside)
+        inside = _MACRO_BEFORE.sub("", inside)
+        inside = _MACRO_AFTER.sub("", inside)
+        inside = _MACRO_INSIDE.sub("", inside)
+        inside = inside.replace("m", "a")
+    return _untemplate(inside)
+
+
+def _classify_macros(token: str) -> str:
+    symbol = _classify(token)
+    return "m" if symbol == "a" and _MACRO.fullmatch(token) else symbol
+
+
 _SYMBOLS = TokenSymbols(_classify)
+_MACRO_SYMBOLS = TokenSymbols(_classify_macros)
 _REDUCER, _UNIT, _UNIT_VIEW = _patterns()
+_MACRO_REDUCER = _REDUCER.with_tidy(_without_macros)
+
+
+def _parses(tokens: list[str], symbols_of: TokenSymbols, reducer: Reducer, tidy) -> bool:
+    skeleton = "".join([symbols_of[t] for t in tokens])
+    if "\x00" in skeleton:
+        return False
+    flat = reducer.reduce(skeleton)
+    return flat is not None and _UNIT.fullmatch(_UNIT_VIEW(tidy(flat))) is not None
 
 
 def valid(text: str) -> bool:
-    """Whether the text is a syntactically valid C++ or C file."""
-    text = text.lstrip("﻿")
+    """Whether the text is a syntactically valid C++ or C file.
+
+    A text that does not parse as it stands is parsed once more with names in capitals read as macros, which
+    may wrap or decorate declarations.
+    """
+    text = text.lstrip("\ufeff")
     if "#" in text:
         depth = 0
         for m in _IF.finditer(text):
@@ -182,8 +221,7 @@ def valid(text: str) -> bool:
                 return False
         if depth:
             return False
-    skeleton = "".join([_SYMBOLS[m[0]] for m in _TOKEN.finditer(text)])
-    if "\x00" in skeleton:
-        return False
-    flat = _REDUCER.reduce(skeleton)
-    return flat is not None and _UNIT.fullmatch(_UNIT_VIEW(_untemplate(flat))) is not None
+    tokens = [m[0] for m in _TOKEN.finditer(text)]
+    if _parses(tokens, _SYMBOLS, _REDUCER, _untemplate):
+        return True
+    return any(map(_MACRO.fullmatch, tokens)) and _parses(tokens, _MACRO_SYMBOLS, _MACRO_REDUCER, _without_macros)

@@ -144,3 +144,10 @@ def test_operator_and_rates(spark):
     rates = {r.language: (r.files, r.invalid, r.invalid_rate) for r in invalid_rates(judged, ["r", "language"]).collect()}
     assert rates == {"go": (2, 1, 0.5), "python": (3, 2, 2 / 3)}
     assert judge_files(spark.createDataFrame([], schema), key=["p"], text="content", language="language").count() == 0
+
+
+def test_macros_around_declarations():
+    text = 'MY_BEGIN_DECLS\nMY_API_FUNC(int) my_call(MY_TYPE *a, int b) MY_NOTHROW;\nextern MY_API int x;\nclass MY_EXPORT A {\n public:\n  MY_DISALLOW_COPY(A);\n  int f() MY_CONST_CALL { return MAX_SIZE + 1; }\n};\nMY_END_DECLS\n'
+    assert grammar_cpp.valid(text)
+    assert not grammar_cpp.valid(text.replace("return MAX_SIZE + 1;", "return MAX_SIZE + ;")) and not grammar_cpp.valid(text.replace("int b)", "int b"))
+    assert not grammar_cpp.valid("int f() {\n  const std::string API_TOKEN = \n}\n")
