@@ -105,7 +105,7 @@ def _known(word: str, stems: frozenset[str]) -> bool:
     for end in ("s", "es", "ed", "d", "ing", "er", "or", "ies"):
         if word.endswith(end) and (word[: -len(end)] in stems or word[: -len(end)] + "e" in stems or word[: -len(end)] + "y" in stems):
             return True
-    return len(word) > 4 and word.endswith(("ing", "ed")) and len(word) > 5 and word.rstrip("ingd")[:-1] in stems
+    return False
 
 
 def _sentence_tells(sentence: str, stems: frozenset[str], least: int) -> bool:

@@ -48,7 +48,7 @@ def _classify(token: str) -> str:
 
 
 def _patterns():
-    args, params, imports, group, of_type, _ = (symbols("(", 1 << i) for i in range(6))
+    args, params, imports, group, of_type = (symbols("(", 1 << i) for i in range(5))
     index, size, generic = (symbols("[", 1 << i) for i in range(3))
     block, literal, fields, methods, clauses = (symbols("{", 1 << i) for i in range(5))
     type_name = re.compile(rf"a(?:\.a)?{generic}?")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import DEFAULT_VOCABULARY, count, cut_to
+from .tokens import DEFAULT_VOCABULARY, cut_to
 
 #: Items in one shard, on average; the space left in a shard's last container is all that sharding costs.
 SHARD_ITEMS = 8_000
@@ -36,7 +36,6 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     for s, stack in stacks.items():
         have[s] = len(stack)
     left = int(have.sum())
-    below = np.zeros(capacity + 2, dtype=np.int64)  # largest present size <= index
     present = np.flatnonzero(have)
 
     def largest(limit: int) -> int:
@@ -48,7 +47,7 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
         return int(present[k]) if k >= 0 else 0
 
     def take(size: int) -> int:
-        nonlocal left, present, below
+        nonlocal left, present
         have[size] -= 1
         left -= 1
         if have[size] == 0 and np.count_nonzero(have[present]) * 2 < len(present):
@@ -171,6 +170,3 @@ def pack_documents(
 
     schema = f"container_id string, n_tokens int, n_items int, items array<struct<`{key}`:{key_type},part:int,parts:int,n_tokens:int,text:string>>"
     return pieces.groupBy("shard").applyInArrow(pack, schema)
-
-
-__all__ = ["best_two_fit", "pack_documents", "count"]
