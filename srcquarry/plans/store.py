@@ -13,7 +13,6 @@ from collections.abc import Iterator
 SCHEMA = 2
 ACTIVE, PENDING, LOCK = "active_index.json", "build_in_progress.json", ".index.lock"
 _COLLECTION = re.compile(r"gen_[a-f0-9]{32}")
-_SHA = re.compile(r"[0-9a-f]{64}")
 
 
 def read_json(path: str) -> dict | None:
