@@ -187,11 +187,18 @@ def gap_complement(spark, sf_dir):
     WHERE NOT regexp_matches(body, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')"""
 )
 def lines_of_chunks(spark, sf_dir):
-    """Lines and characters of each chunk that ends its lines in the plain way."""
+    """Lines and characters of each chunk that ends its lines in the plain way, as its SQL has it; ``lines_of_all_chunks`` has every chunk."""
     chunks = _chunks(spark, sf_dir).where(~F.col("body").rlike(r"[\r\x0b\x0c\x1c-\x1e\x85  ]"))
     return chunks.select("chunk_id", F.size(lines_keepends(F.col("body"))).cast("bigint").alias("lines"), F.char_length("body").cast("bigint").alias("chars"), is_blank(F.col("body")).alias("blank"))
 
 
+@query()
+def lines_of_all_chunks(spark, sf_dir):
+    """Lines and characters of every chunk, however its lines end."""
+    body = F.col("body")
+    return _chunks(spark, sf_dir).select("chunk_id", F.size(lines_keepends(body)).cast("bigint").alias("lines"), F.char_length(body).cast("bigint").alias("chars"), is_blank(body).alias("blank"))
+
+
 @query(f"SELECT count(*) AS files, sum(CASE WHEN joined THEN 1 ELSE 0 END) AS same FROM (SELECT true AS joined FROM {_F} WHERE content IS NOT NULL)")
 def lines_rejoin(spark, sf_dir):
     """Joining the lines of every file gives the file."""
@@ -286,7 +293,7 @@ def md_title_clean(spark, sf_dir):
 @query()
 def fenced_texts(spark, sf_dir):
     """Documents with fenced blocks: lines inside and in all."""
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("```")))
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~")))
     flags = fenced_flags(F.transform(lines_keepends(F.col("text")), lambda x: F.regexp_replace(x, "[\\r\\n]+\\z", "")))
     return docs.select("doc_id", F.size(flags).alias("lines"), F.size(F.filter(flags, lambda x: x)).alias("fenced"))
 

@@ -37,3 +37,19 @@ def test_query(spark, db, name):
     rel = db.sql(sql)
     assert sorted(rel.columns) == sorted(df.columns)
     assert got == rows_of(rel.columns, rel.fetchall())
+
+
+def test_lines_of_every_chunk(spark, tmp_path):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    bodies = ["", "a", "\r\n", "a\n\r\n\rb"] + [f"a{e}b{e}{e}" for e in ends] + [f"a{e}b" for e in ends]
+    rows = list(enumerate([*bodies, None]))
+    spark.createDataFrame(rows, "chunk_id long, body string").write.parquet(f"{tmp_path}/chunk.parquet")
+    got = {r.chunk_id: (r.lines, r.chars, r.blank) for r in registry.queries()["lines_of_all_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None, None) if b is None else (len(b.splitlines()), len(b), not b.strip()) for i, b in rows}
+
+
+def test_fenced_texts_of_either_mark(spark, tmp_path):
+    rows = [("tildes", "a\n~~~\nb\n~~~\nc\n"), ("ticks", "```\nb\n```\nc"), ("none", "a\nb\n")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.lines, r.fenced) for r in registry.queries()["fenced_texts"](spark, str(tmp_path)).collect()}
+    assert got == {"tildes": (5, 3), "ticks": (4, 3)}
