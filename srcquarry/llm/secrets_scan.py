@@ -10,9 +10,6 @@ from functools import lru_cache
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
-#: Encoded layers that are opened inside each other at most.
-MAX_LAYERS = 4
-
 
 class Hit(NamedTuple):
     start: int
@@ -31,7 +28,7 @@ _SHAPES = re.compile(
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'`<>\\]+")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'`<>\\]+)")
 _USERINFO = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^:@/?#\s]*):(.+)@[^@/?#\s]+(?:[/?#]|$)")
 _QUERY = re.compile(
     r"[?&#;](?:[\w.-]*(?:token|secret|password|passwd|pwd|apikey|api[_-]key|access[_-]key|signature)|sig|key|auth|code)=([^&#\s]+)", re.I
@@ -179,9 +176,11 @@ def key_container(data: bytes) -> str | None:
 # --- encoded layers -----------------------------------------------------------------------------
 
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
-_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{2}){8,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9A-F]{2}){8,}(?![A-Za-z0-9])")
-_PCT = re.compile(r"(?:[\w.~!*'()-]|%[0-9A-Fa-f]{2})*(?:%[0-9A-Fa-f]{2}){3}(?:[\w.~!*'()-]|%[0-9A-Fa-f]{2})*")
-_ESC = re.compile(r"(?:[\w .:/@+=-]|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})*(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4}(?:[\w .:/@+=-]|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})*")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)(?![A-Za-z0-9])")
+_PCT = re.compile(r"(?:[\w.~!*'()-]++|%[0-9A-Fa-f]{2})++")
+_PCT_CORE = re.compile(r"(?:%[0-9A-Fa-f]{2}){3}")
+_ESC = re.compile(r"(?:[\w .:/@+=-]++|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})++")
+_ESC_CORE = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4}")
 _ESC_ONE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\([0-7]{3})")
 
 
@@ -203,31 +202,43 @@ def _unbase64(s: str) -> bytes | None:
         return None
 
 
+def _runs(text: str, run: re.Pattern, core: re.Pattern):
+    """Matches of ``run`` that hold a ``core``, in linear time however long they are."""
+    return (m for m in run.finditer(text) if core.search(text, m.start(), m.end())) if core.search(text) else ()
+
+
 def _decoded(text: str):
     """(start, end, bytes) of the encoded literals of a text."""
     for m in _B64.finditer(text):
         data = _unbase64(m[0])
         if data and (data[:1] == b"0" or data[:4] == b"open" or _printable(data)):
             yield m.start(), m.end(), data
-    if len(text) < 1 << 22:
-        for m in _HEX.finditer(text):
-            data = bytes.fromhex(m[0])
-            if data[:1] == b"0" or _printable(data):
-                yield m.start(), m.end(), data
+    for m in _HEX.finditer(text):
+        data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
+        if data[:1] == b"0" or _printable(data):
+            yield m.start(), m.end(), data
     if "%" in text:
-        for m in _PCT.finditer(text):
+        for m in _runs(text, _PCT, _PCT_CORE):
             yield m.start(), m.end(), unquote_to_bytes(m[0])
     if "\\" in text:
-        for m in _ESC.finditer(text):
+        for m in _runs(text, _ESC, _ESC_CORE):
             plain = _ESC_ONE.sub(lambda x: chr(int(x[1] or x[2], 16) if x[1] or x[2] else int(x[3], 8)), m[0])
             yield m.start(), m.end(), plain.encode("utf-8", "surrogatepass")
 
 
-def _layer_holds(data: bytes, depth: int) -> bool:
-    if key_container(data):
-        return True
-    text = _printable(data)
-    return bool(text and len(text) >= 6 and any(h for h in scan(text, None, depth + 1)))
+def _layers_hold(data: bytes) -> bool:
+    """Whether an opened literal holds a credential in any layer. A layer has fewer characters than its literal, so this ends."""
+    todo = [data]
+    while todo:
+        data = todo.pop()
+        if key_container(data):
+            return True
+        text = _printable(data)
+        if text and len(text) >= 6:
+            if _plain(text, False):
+                return True
+            todo += [inner for _, _, inner in _decoded(text) if inner]
+    return False
 
 
 # --- scanning -----------------------------------------------------------------------------------
@@ -337,17 +348,8 @@ def _named(text: str, code: bool) -> list[Hit]:
     return hits
 
 
-def scan(text: str, language: str | None, depth: int = 0) -> list[Hit]:
-    """Spans of the credentials of a text, in order, without overlaps.
-
-    ``language`` None or 'markdown' allows bare values after a name; in code these count in comments
-    only. Encoded literals are opened layer by layer and scanned again: a literal that holds a
-    credential in any layer is one itself. The spans of a value joined from several literals follow
-    each other with kind 'more' after the first.
-    """
-    if not text or depth > MAX_LAYERS:
-        return []
-    code = language not in (None, "markdown")
+def _plain(text: str, code: bool) -> list[Hit]:
+    """Spans of the credentials that stand in a text as they are, in any order."""
     hits: list[Hit] = []
     if "PRIVATE KEY" in text:
         at = 0
@@ -371,16 +373,16 @@ def scan(text: str, language: str | None, depth: int = 0) -> list[Hit]:
         hits.append(Hit(m.start(), m.end(), "aws" if m["aws"] else "jwt" if m["jwt"] else "token"))
     if "://" in text:
         for m in _URL.finditer(text):
-            url = m[0].rstrip(".,;)")
+            url, at = m[1].rstrip(".,;)"), m.start(1)
             u = _USERINFO.match(url)
             if u and not placeholder(u[2]) and len(u[2]) >= 3 and not re.match(r"[$<{%]", u[2]):
-                hits.append(Hit(m.start() + u.start(2), m.start() + u.end(2), "url"))
+                hits.append(Hit(at + u.start(2), at + u.end(2), "url"))
             for q in _QUERY.finditer(url):
                 if credible(q[1], 1):
-                    hits.append(Hit(m.start() + q.start(1), m.start() + q.end(1), "url"))
+                    hits.append(Hit(at + q.start(1), at + q.end(1), "url"))
             h = _HOOK.search(url)
             if h and (_mixed(h[1]) >= 2 or _scrambled(h[1])) and not placeholder(h[1]):
-                hits.append(Hit(m.start() + h.start(1), m.start() + h.end(1), "url"))
+                hits.append(Hit(at + h.start(1), at + h.end(1), "url"))
     if "Bearer" in text or "Basic" in text or "Token " in text or "ApiKey" in text:
         for m in _SCHEME.finditer(text):
             v = m[2]
@@ -399,13 +401,27 @@ def scan(text: str, language: str | None, depth: int = 0) -> list[Hit]:
             if credible(m[2], 2):
                 hits.append(Hit(m.start(2), m.end(2), "cli"))
     hits += _named(text, code)
-    if not code or depth:
+    if not code:
         for m in _PROSE.finditer(text):
             g = 1 if m[1] else 2
             if credible(m[g], 2):
                 hits.append(Hit(m.start(g), m.end(g), "prose"))
+    return hits
+
+
+def scan(text: str, language: str | None) -> list[Hit]:
+    """Spans of the credentials of a text, in order, without overlaps.
+
+    ``language`` None or 'markdown' allows bare values after a name; in code these count in comments
+    only. Encoded literals are opened layer by layer, however many there are, and scanned again: a literal
+    that holds a credential in any layer is one itself. The spans of a value joined from several literals
+    follow each other with kind 'more' after the first.
+    """
+    if not text:
+        return []
+    hits = _plain(text, language not in (None, "markdown"))
     for a, b, data in _decoded(text):
-        if data and _layer_holds(data, depth):
+        if data and _layers_hold(data):
             hits.append(Hit(a, b, "encoded"))
     hits.sort(key=lambda h: (h.start, -h.end))
     kept: list[Hit] = []

@@ -96,3 +96,18 @@ def test_operator_edges(spark):
     got = run(rows)
     assert sorted(((r.id, r.hits[0].line_no) for r in got), key=str) == [("1", 2), ("1", 2), ("4", 50001), (None, 1)]
     assert all(GH not in r.redacted_text for r in got) and run([]) == []
+
+
+@pytest.mark.parametrize("rest", ["x = 1\n" * 700_000, 'u = "https://h/a"\nv = "%41%42 \\n"\nw = "' + "0a" * 2_100_000 + 'g"\n'])
+def test_hex_in_texts_of_any_length(rest):
+    text = rest + 'k = "' + f"password = '{GH}'".encode().hex() + '"\n'
+    assert len(text) > 1 << 22 and lines(text) == [text.count("\n")]
+
+
+def test_layers_of_any_depth():
+    for encode in (lambda t: base64.b64encode(t.encode()).decode(), lambda t: t.encode().hex(), lambda t: "".join(f"%{b:02X}" for b in t.encode())):
+        literal = f"password = '{GH}'"
+        for _ in range(7):
+            literal = encode(literal)
+        text = f'data = "{literal}"\nnext = 1\n'
+        assert redact(text, scan(text, "python")) == 'data = "REDACTED"\nnext = 1\n'
