@@ -106,6 +106,9 @@ def token_blocks(sized: DataFrame, *, key: str, block: int = BLOCK_TOKENS, bucke
 def plan_mix(sized: DataFrame, targets: DataFrame, *, block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> Plan:
     """The size of the mix: as many slots as every source can fill at its share without exceeding its repeats.
 
+    That is the least capacity over share, so the scarcest source is used up; what it happens to draw beyond its
+    capacity is left out by ``mix_slots`` and costs no other source a slot.
+
     Sources without tokens cannot contribute; their shares go to the others in proportion.
     """
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
@@ -116,21 +119,15 @@ def plan_mix(sized: DataFrame, targets: DataFrame, *, block: int = BLOCK_TOKENS,
     shares = [r["target_share"] / total for r in rows]
     blocks = [-(-int(r["tokens"]) // block) for r in rows]
     repeats = [int(r["max_repeats"]) for r in rows]
-    # In every whole shard a source gets at most one expectation rounded up plus the drawn remainder; the
-    # remainder averages out, so leave its spread (four standard deviations) unused.
-    slots = min(_fit(b * k, s) for b, k, s in zip(blocks, repeats, shares))
-    return Plan([r["source"] for r in rows], shares, blocks, [int(r["tokens"]) for r in rows], repeats, max(0, slots))
-
-
-def _fit(capacity: int, share: float) -> int:
-    n = capacity / share
-    return int(n - 4 * math.sqrt(max(n / SHARD_SLOTS, 1.0) * 2) / share) if capacity > 64 else int(n - 1 / share)
+    slots = min(math.floor(b * k / s + 1e-6) for b, k, s in zip(blocks, repeats, shares))
+    return Plan([r["source"] for r in rows], shares, blocks, [int(r["tokens"]) for r in rows], repeats, slots)
 
 
 def mix_slots(spark, plan: Plan, *, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Slots of the mix: ``shard``, ``slot``, ``source``, ``block_no``, ``pass_no`` (from 0).
 
-    A slot that would exceed its source's repeats is left out; the plan leaves room so that this is rare.
+    A slot that would exceed its source's repeats is left out; only the spread of the draws, and only of a source
+    that is used up, makes such slots.
     """
     if not plan.slots:
         return spark.createDataFrame([], "shard bigint, slot bigint, source string, block_no bigint, pass_no int")

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from srcquarry.llm.mixing import draw_counts, mix_blocks, mix_report, permute, sized_records, token_blocks
+from srcquarry.llm.mixing import draw_counts, mix_blocks, mix_report, mix_slots, permute, plan_mix, sized_records, token_blocks
 from srcquarry.llm.running import running_sum
 from srcquarry.tables import cut
 
@@ -70,3 +71,15 @@ def test_empty(spark):
     sized = sized_records(spark.createDataFrame([], "id long, source string, text string"), targets, key="id", text="text", source="source")
     mixed, _ = mix_blocks(sized, targets, key="id")
     assert mixed.collect() == [] and mix_report(mixed, targets, key="id").first().tokens == 0
+
+
+@pytest.mark.parametrize("blocks, share", [(1, 0.01), (1, 0.0003), (64, 0.01), (65, 0.0003), (65, 0.01)])
+def test_small_source_sets_the_size_and_empties_nothing(spark, blocks, share):
+    rows = [(i, "small", 512) for i in range(blocks)] + [(1000, "large", 512 * 1_000_000)]
+    sized = spark.createDataFrame(rows, "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("small", share, 1), ("large", 1 - share, 1)], "source string, target_share double, max_repeats int")
+    plan = plan_mix(sized, targets)
+    assert abs(plan.slots - blocks / share) <= 1
+    used = {r.source: (r.n, r.d) for r in mix_slots(spark, plan).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("block_no").alias("d")).collect()}
+    n, d = used.get("small", (0, 0))
+    assert n == d <= blocks and abs(used["large"][0] - (1 - share) * plan.slots) < 6 * max(1, (plan.slots / 1024) ** 0.5)
