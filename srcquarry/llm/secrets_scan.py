@@ -151,20 +151,32 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+# Object identifiers of password-based encryption (PKCS#5, PKCS#12) and of PKCS#7 data and signed data.
+_PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+_CONTENT = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01", b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x02")
+
+
 def key_container(data: bytes) -> str | None:
-    """The kind of private key a binary text holds by its grammar: DER (PKCS#1, PKCS#8, SEC1) or OpenSSH."""
+    """The kind of private key a binary text holds: DER by its grammar (PKCS#1, PKCS#8 also encrypted, PKCS#12, SEC1), OpenSSH by its magic."""
     if data.startswith(b"openssh-key-v1\0"):
         return "openssh"
     top = _der(data, 0, len(data))
     if not top or top[0] != 0x30 or len(data) - top[2] > 4 or top[2] - top[1] < 24:
         return None
     first = _der(data, top[1], top[2])
+    if first and first[0] == 0x30:
+        inner, second = _der(data, first[1], first[2]), _der(data, first[2], top[2])
+        sealed = inner and inner[0] == 0x06 and data[inner[1] : inner[2]].startswith(_PBE)
+        return "encrypted" if sealed and second and second[0] == 0x04 else None
     if not first or first[0] != 0x02 or first[2] - first[1] != 1:
         return None
     version, second = data[first[1]], _der(data, first[2], top[2])
     if not second:
         return None
-    if version == 0 and second[0] == 0x30:
+    if version == 3 and second[0] == 0x30:
+        inner = _der(data, second[1], second[2])
+        return "pkcs12" if inner and inner[0] == 0x06 and data[inner[1] : inner[2]] in _CONTENT else None
+    if version in (0, 1) and second[0] == 0x30:
         inner = _der(data, second[1], second[2])
         third = _der(data, second[2], top[2])
         return "pkcs8" if inner and inner[0] == 0x06 and third and third[0] == 0x04 else None
@@ -177,6 +189,13 @@ def key_container(data: bytes) -> str | None:
 
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)(?![A-Za-z0-9])")
+# Runs of base64 or hex that go on in the next line or in the next literal joined to theirs.
+_JOINED = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+"
+    r"(?:(?:(?:\\n)?[\"'`]\s*+(?:\+\s*+|\.\s++|\\\r?\n\s*+)?[rRbBuUfF]{0,2}[\"'`]|(?:\\r)?(?:\\n)?\\?\r?\n[ \t]*+(?=[A-Za-z0-9+/_-]++={0,2}[ \t]*(?:\r?\n|\Z|[\"'`\\]))|\\n)"
+    r"[A-Za-z0-9+/_-]++)++={0,2}"
+)
+_JOINED_SEP = re.compile(r"(?:\\[rn]|[\"'`])[^A-Za-z0-9]*[rRbBuUfF]{0,2}[\"'`]|(?:\\[rn])+\s*|\\?\r?\n[ \t]*")
 _PCT = re.compile(r"(?:[\w.~!*'()-]++|%[0-9A-Fa-f]{2})++")
 _PCT_CORE = re.compile(r"(?:%[0-9A-Fa-f]{2}){3}")
 _ESC = re.compile(r"(?:[\w .:/@+=-]++|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3})++")
@@ -226,6 +245,21 @@ def _decoded(text: str):
             yield m.start(), m.end(), plain.encode("utf-8", "surrogatepass")
 
 
+def _joined(text: str):
+    """(spans, bytes) of encoded runs wrapped over lines or joined from several literals."""
+    for m in _JOINED.finditer(text):
+        spans, at = [], m.start()
+        for sep in _JOINED_SEP.finditer(text, m.start(), m.end()):
+            spans.append((at, sep.start()))
+            at = sep.end()
+        spans.append((at, m.end()))
+        whole = "".join(text[a:b] for a, b in spans)
+        data = bytes.fromhex(whole) if len(whole) % 2 == 0 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", whole) else None
+        for found in (data, _unbase64(whole)):
+            if found:
+                yield spans, found
+
+
 def _layers_hold(data: bytes) -> bool:
     """Whether an opened literal holds a credential in any layer. A layer has fewer characters than its literal, so this ends."""
     todo = [data]
@@ -238,6 +272,7 @@ def _layers_hold(data: bytes) -> bool:
             if _plain(text, False):
                 return True
             todo += [inner for _, _, inner in _decoded(text) if inner]
+            todo += [inner for _, inner in _joined(text)]
     return False
 
 
@@ -420,6 +455,9 @@ def scan(text: str, language: str | None) -> list[Hit]:
     if not text:
         return []
     hits = _plain(text, language not in (None, "markdown"))
+    for spans, data in _joined(text):
+        if _layers_hold(data):
+            hits += [Hit(a, b, "more" if i else "encoded") for i, (a, b) in enumerate(spans)]
     for a, b, data in _decoded(text):
         if data and _layers_hold(data):
             hits.append(Hit(a, b, "encoded"))

@@ -111,3 +111,24 @@ def test_layers_of_any_depth():
             literal = encode(literal)
         text = f'data = "{literal}"\nnext = 1\n'
         assert redact(text, scan(text, "python")) == 'data = "REDACTED"\nnext = 1\n'
+
+
+def test_further_key_containers():
+    oid = lambda tail: der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01" + tail)
+    one = der(0x30, der(2, b"\1") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"\x04\x20" + b"k" * 32) + der(0x81, b"p" * 33))
+    sealed = der(0x30, der(0x30, oid(b"\x05\x0d") + der(0x30, b"")) + der(4, b"x" * 64))
+    p12 = der(0x30, der(2, b"\3") + der(0x30, oid(b"\x07\x01") + der(0xA0, der(4, b"x" * 64))))
+    assert [key_container(x) for x in (one, sealed, p12)] == ["pkcs8", "encrypted", "pkcs12"]
+    digest = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, b"x" * 32))
+    assert key_container(digest) is None
+
+
+def test_wrapped_and_joined_runs():
+    key = der(0x30, der(2, b"\1") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"\x04\x82\x01\x00" + bytes(range(256))))
+    for whole in (base64.b64encode(key).decode(), key.hex(), base64.b64encode(f"password = '{GH}', on the second machine".encode()).decode()):
+        parts = [whole[i : i + 40] for i in range(0, len(whole), 40)]
+        for text in ('k = """\n' + "\n".join(parts) + '\n"""\nnext = 1\n', "k = (\n" + "\n".join(f'    "{p}"' for p in parts) + "\n)\n", "k = " + " + ".join(f'"{p}"' for p in parts) + "\nn = 1\n", 'k = "' + "\\n".join(parts) + '"\n'):
+            hits = scan(text, "python")
+            clean = redact(text, hits)
+            assert sum(h.kind != "more" for h in hits) == 1 and not any(p in clean for p in parts)
+            assert clean.count("\n") == text.count("\n") and compile(clean, "x", "exec")
