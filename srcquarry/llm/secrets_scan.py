@@ -269,7 +269,7 @@ def _layers_hold(data: bytes) -> bool:
             return True
         text = _printable(data)
         if text and len(text) >= 6:
-            if _plain(text, False):
+            if _plain(text, None):
                 return True
             todo += [inner for _, _, inner in _decoded(text) if inner]
             todo += [inner for _, inner in _joined(text)]
@@ -383,8 +383,27 @@ def _named(text: str, code: bool) -> list[Hit]:
     return hits
 
 
-def _plain(text: str, code: bool) -> list[Hit]:
+_HASH_COMMENT = re.compile(_STRING.pattern + r"|(?P<comment>#[^\n]*)", re.S)
+_SLASH_COMMENT = re.compile(
+    r"R\"([^()\\\s]{0,16})\(.*?\)\1\"|`[^`]*(?:`|\Z)|\"(?:[^\"\\\n]|\\.)*+(?:\"|(?=\n)|\Z)|(?<![0-9A-Za-z_])'(?:[^'\\\n]|\\.)*+(?:'|(?=\n)|\Z)"
+    r"|(?P<comment>//[^\n]*(?:\n[ \t]*//[^\n]*)*|/\*.*?(?:\*/|\Z))",
+    re.S,
+)
+
+
+def _prose(text: str, language: str | None) -> list[Hit]:
+    """Values told in prose: anywhere in prose, in the comments of code."""
+    found = [(m, 1 if m[1] else 2) for m in _PROSE.finditer(text)]
+    if found and language not in (None, "markdown"):
+        comment = _HASH_COMMENT if language == "python" else _SLASH_COMMENT
+        spans = [m.span("comment") for m in comment.finditer(text) if m["comment"] is not None]
+        found = [(m, g) for a, b in spans for m in _PROSE.finditer(text, a, b) for g in (1 if m[1] else 2,)]
+    return [Hit(m.start(g), m.end(g), "prose") for m, g in found if credible(m[g], 2)]
+
+
+def _plain(text: str, language: str | None) -> list[Hit]:
     """Spans of the credentials that stand in a text as they are, in any order."""
+    code = language not in (None, "markdown")
     hits: list[Hit] = []
     if "PRIVATE KEY" in text:
         at = 0
@@ -436,25 +455,21 @@ def _plain(text: str, code: bool) -> list[Hit]:
             if credible(m[2], 2):
                 hits.append(Hit(m.start(2), m.end(2), "cli"))
     hits += _named(text, code)
-    if not code:
-        for m in _PROSE.finditer(text):
-            g = 1 if m[1] else 2
-            if credible(m[g], 2):
-                hits.append(Hit(m.start(g), m.end(g), "prose"))
+    hits += _prose(text, language)
     return hits
 
 
 def scan(text: str, language: str | None) -> list[Hit]:
     """Spans of the credentials of a text, in order, without overlaps.
 
-    ``language`` None or 'markdown' allows bare values after a name; in code these count in comments
-    only. Encoded literals are opened layer by layer, however many there are, and scanned again: a literal
+    ``language`` None or 'markdown' allows bare values after a name and values told in prose; in code these
+    count in comments only. Encoded literals are opened layer by layer, however many there are, and scanned again: a literal
     that holds a credential in any layer is one itself. The spans of a value joined from several literals
     follow each other with kind 'more' after the first.
     """
     if not text:
         return []
-    hits = _plain(text, language not in (None, "markdown"))
+    hits = _plain(text, language)
     for spans, data in _joined(text):
         if _layers_hold(data):
             hits += [Hit(a, b, "more" if i else "encoded") for i, (a, b) in enumerate(spans)]

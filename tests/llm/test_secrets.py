@@ -132,3 +132,12 @@ def test_wrapped_and_joined_runs():
             clean = redact(text, hits)
             assert sum(h.kind != "more" for h in hits) == 1 and not any(p in clean for p in parts)
             assert clean.count("\n") == text.count("\n") and compile(clean, "x", "exec")
+
+
+@pytest.mark.parametrize("language, text", [("python", "x = 1  # the admin password is 'x7Rq91'\n"), ("go", "x := 1\n// the password is `x7Rq91` here\n/* its token is 'x7Rq91' */\n"), ("cpp", "char c = '\"';\n/* use 'x7Rq91' as the password */\n")])
+def test_prose_in_comments_of_code(language, text):
+    assert scan(text, language) and "x7Rq91" not in redact(text, scan(text, language))
+
+
+def test_prose_in_strings_of_code_is_none():
+    assert lines("log(\"# the password is 'x7Rq91'\")\n") == [] and lines("s := \"// password is 'x7Rq91'\"\n", "go") == []
