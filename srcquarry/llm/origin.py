@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .layout import bundled, looks, shingles
@@ -32,22 +32,27 @@ def _hash64(shingle: tuple[str, ...]) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(shingle).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _copies_by_join(files: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
-    """Files that are copies of a known one, by a join on shingle hashes; both sides may be large."""
+def _copies_by_join(files: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """``digest`` and ``copy_of`` of the texts that are copies of a known one, by a join on shingle hashes; both sides may be large.
 
-    def hashes(df: DataFrame, id_: str, body: str) -> DataFrame:
+    Texts are told apart by their SHA-256, known files by name and SHA-256.
+    """
+
+    def hashes(df: DataFrame, name: Column, body: str) -> DataFrame:
         def run(batches):
             for b in batches:
-                sets = [sorted({_hash64(s) for s in shingles(t)}) if t else [] for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hs"])
+                sets = [sorted({_hash64(s) for s in shingles(t)}) if t else [] for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["name", "digest", "hs"])
 
-        return df.select(F.col(id_).cast("string").alias("id"), F.col(body).alias("t")).dropDuplicates(["id"]).mapInArrow(run, "id string, hs array<bigint>")
+        rows = df.select(name.alias("name"), F.sha2(F.col(body), 256).alias("digest"), F.col(body).alias("t")).where(F.col("t").isNotNull())
+        return rows.dropDuplicates(["name", "digest"]).mapInArrow(run, "name string, digest string, hs array<bigint>")
 
-    a, k = hashes(files, key, text), hashes(known, "name", "content")
-    left = a.select("id", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    right = k.select(F.col("id").alias("known"), F.size("hs").alias("m"), F.explode("hs").alias("h"))
-    pairs = left.join(right, "h").groupBy("id", "known", "n", "m").agg(F.count("*").alias("c"))
-    return pairs.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= COPY_SIMILARITY).groupBy("id").agg(F.min("known").alias("copy_of"))
+    a, k = hashes(files, F.lit(""), text), hashes(known, F.coalesce("name", F.lit("")), "content")
+    left = a.select("digest", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    right = k.select("name", F.col("digest").alias("known"), F.size("hs").alias("m"), F.explode("hs").alias("h"))
+    pairs = left.join(right, "h").groupBy("digest", "name", "known", "n", "m").agg(F.count("*").alias("c"))
+    alike = pairs.select("digest", "name", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("alike")).where(F.col("alike") >= COPY_SIMILARITY)
+    return alike.groupBy("digest").agg(F.max(F.struct("alike", "name"))["name"].alias("copy_of"))
 
 
 def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str, text: str, language: str) -> DataFrame:
@@ -61,13 +66,14 @@ def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str,
     language counts as hand-written, whatever it looks like; null and blank texts do too.
 
     ``known`` is sent to all tasks while it is within MAX_KNOWN_FILES and MAX_KNOWN_CHARS; beyond, files
-    are joined to it by shingle hashes. Repeated rows are classified each; an empty table gives none;
+    are joined to it by shingle hashes, with the same result; ``copy_of`` is the most similar file, the last name
+    of equals, and empty for one without a name. Repeated rows are classified each; an empty table gives none;
     null paths and languages are allowed. Only the named columns are read.
     """
     bound = known.agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("c")).first()
     small = bound["n"] <= MAX_KNOWN_FILES and (bound["c"] or 0) <= MAX_KNOWN_CHARS
-    rows = [(r["name"], r["content"]) for r in known.select("name", "content").collect()] if small else []
-    src = files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(language).alias("l"), F.col(text).alias("t"))
+    rows = [(r["name"] or "", r["content"]) for r in known.select("name", "content").collect()] if small else []
+    src = files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(language).alias("l"), F.col(text).alias("t"), F.sha2(F.col(text), 256).alias("d"))
     key_type = src.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +85,23 @@ def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str,
                 origin, copy = None, None
                 if body and body.strip():
                     if bundled(p):
-                        origin = "vendored"
+                        origin = "bundled"
                     else:
                         own = shingles(body)
                         copy = _copy_of(own, every, sets) if own and sets else None
-                        origin = "vendored" if copy else looks(body, lang)
+                        origin = "vendored" if copy is not None else looks(body, lang)
                     if (origin or not small) and judge(body, lang)[0] is False:
                         origin, copy = "invalid", None
                 origins.append(origin or "hand-written")
                 copies.append(copy)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(origins, pa.string()), pa.array(copies, pa.string())], ["k", "origin", "copy_of"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(origins, pa.string()), pa.array(copies, pa.string()), batch.column(4)], ["k", "origin", "copy_of", "d"])
 
-    out = src.mapInArrow(run, f"k {key_type}, origin string, copy_of string")
+    out = src.mapInArrow(run, f"k {key_type}, origin string, copy_of string, d string")
     if not small:
-        joined = _copies_by_join(files, known, key, text).withColumnRenamed("copy_of", "joined_copy")
-        out = out.join(joined, F.col("k").cast("string") == F.col("id"), "left").select(
-            "k",
-            F.when(F.col("joined_copy").isNotNull() & (F.col("origin") != "invalid"), "vendored").otherwise(F.col("origin")).alias("origin"),
-            F.col("joined_copy").alias("copy_of"),
+        joined = _copies_by_join(files, known, text).withColumnRenamed("copy_of", "joined_copy")
+        copied = F.col("joined_copy").isNotNull() & ~F.col("origin").isin("invalid", "bundled")
+        out = out.join(joined, F.col("d") == F.col("digest"), "left").select(
+            "k", F.when(copied, "vendored").otherwise(F.col("origin")).alias("origin"), F.when(copied, F.col("joined_copy")).alias("copy_of")
         )
-    origin = F.when(F.col("origin") == "invalid", "hand-written").otherwise(F.col("origin"))
+    origin = F.when(F.col("origin") == "invalid", "hand-written").when(F.col("origin") == "bundled", "vendored").otherwise(F.col("origin"))
     return out.select(F.col("k").alias(key), origin.alias("origin"), "copy_of")

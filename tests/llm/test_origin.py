@@ -48,3 +48,15 @@ def test_copies_by_both_ways(spark, monkeypatch):
     got = classify(spark, rows, [("l/a", lib), ("l/b", None)])
     assert got.pop("badcopy")[0] == "hand-written" and got == want
     assert classify(spark, [], [("l/a", lib)]) == {}
+
+
+def test_both_paths_agree_on_versions_names_and_keys(spark, monkeypatch):
+    body = lambda v: "\n".join(f"value_{v}_{i} = call_{v}({i}, other, more)" for i in range(60)) + "\n"
+    known = spark.createDataFrame([("lib/a.py", body(1)), ("lib/a.py", body(2)), ("lib/b.py", body(2)), (None, body(3)), ("lib/c.py", None)], "name string, content string")
+    rows = [("1", "x.py", body(1)), ("1", "x.py", body(2)), (None, "y.py", body(1)), ("3", "z.py", body(3)), ("4", "vendor/a.py", body(1)), ("5", "n.py", None)]
+    files = spark.createDataFrame([(*r, "python") for r in rows], "id string, path string, content string, language string")
+    run = lambda: sorted((tuple(r) for r in classify_origin(files, known, key="id", path="path", text="content", language="language").collect()), key=repr)
+    small = run()
+    monkeypatch.setattr("srcquarry.llm.origin.MAX_KNOWN_FILES", 0)
+    assert run() == small
+    assert small == sorted([("1", "vendored", "lib/a.py"), ("1", "vendored", "lib/b.py"), (None, "vendored", "lib/a.py"), ("3", "vendored", ""), ("4", "vendored", None), ("5", "hand-written", None)], key=repr)
