@@ -63,7 +63,8 @@ class Layout(NamedTuple):
 def head_comment(text: str) -> list[str]:
     """The lines of comment at the start of a file, before any code."""
     found = []
-    for line in text[:20000].replace("\r", "\n").split("\n"):
+    for m in re.finditer(r"[^\r\n]+", text):
+        line = m[0]
         s = line.strip()
         if not s:
             continue

@@ -60,3 +60,8 @@ def test_both_paths_agree_on_versions_names_and_keys(spark, monkeypatch):
     monkeypatch.setattr("srcquarry.llm.origin.MAX_KNOWN_FILES", 0)
     assert run() == small
     assert small == sorted([("1", "vendored", "lib/a.py"), ("1", "vendored", "lib/b.py"), (None, "vendored", "lib/a.py"), ("3", "vendored", ""), ("4", "vendored", None), ("5", "hand-written", None)], key=repr)
+
+
+def test_head_comment_of_any_length():
+    licence = "# All rights reserved, as the licence of this part says.\n" * 600
+    assert looks(licence + "# Code generated by tool. DO NOT EDIT.\n" + HAND, "python") == looks("# Code generated by tool. DO NOT EDIT.\n" + HAND, "python") == "generated"
