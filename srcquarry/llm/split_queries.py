@@ -27,10 +27,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new texts of the pieces of each oversized chunk, joined again,."""
+    own = F.substr("piece", F.col("overlap_chars") + 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("new")))), lambda p: p["new"]), "")
+    return p4_pieces(spark, sf_dir).groupBy("chunk_id").agg(F.sha2(joined, 256).alias("digest"))
+
+
 SQL = {
     "p4_found": """
 SELECT DISTINCT c.chunk_id FROM chunk c JOIN size_limits s ON s.limit_name = 'piece' AND s.applies_to = c.language
+WHERE length(c.body) > s.max_size""",
+    "p4_rejoined": """
+SELECT DISTINCT c.chunk_id, sha256(c.body) AS digest FROM chunk c JOIN size_limits s ON s.limit_name = 'piece' AND s.applies_to = c.language
 WHERE length(c.body) > s.max_size""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rejoined": p4_rejoined}

@@ -1,8 +1,10 @@
 import random
+import re
 
 from srcquarry.llm.split import split_oversized
 
 LIMITS = [("python", 100, 10, "code points"), ("markdown", 120, 2, "lines"), ("zero", 50, 0, "code points")]
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
 
 
 def run(spark, rows):
@@ -29,6 +31,9 @@ def test_pieces(spark):
             assert r.start_line == 7 + t[: r.char_start].count("\n") and r.end_line == 7 + t[: max(r.char_start, r.char_end - 1)].count("\n")
             if unit == "code points":
                 assert r.overlap_chars == (min(overlap, at) if at else 0)
+            elif at:
+                kept, following = "".join(LINE.findall(t[:at])[-overlap:]), len(LINE.search(t[at:])[0])
+                assert r.overlap_chars == min(len(kept), max(size - following, size // 2))
             at = r.char_end
         assert not own or at == len(t)
 
@@ -44,6 +49,24 @@ def test_boundaries(spark):
     assert got[0].start_line == 1
 
 
+def test_pieces_fill_the_limit_beside_short_overlaps(spark):
+    got = sorted(run(spark, [(1, "markdown", "ab\n" * 200, 1, "")]), key=lambda r: r.piece_no)
+    assert [len(r.piece) for r in got[:-1]] == [120] * (len(got) - 1) and [r.overlap_chars for r in got] == [0] + [6] * (len(got) - 1)
+
+
+def test_overlap_reaches_behind_a_piece_of_one_line(spark):
+    text = "".join(c * (n - 1) + "\n" for c, n in (("a", 50), ("b", 30), ("c", 40), ("d", 40), ("e", 30)))
+    got = sorted(run(spark, [(1, "markdown", text, 1, "")]), key=lambda r: r.piece_no)
+    assert [r.piece[r.overlap_chars :][0] for r in got] == ["a", "d", "e"] and got[2].piece[0] == "c" and got[2].overlap_chars == 80
+
+
+def test_texts_over_many_pages(spark):
+    text = "".join(f"line {i} 🙂 of a long text\n" + ("\n" if i % 7 == 0 else "") for i in range(4_000))
+    for lang in ("python", "markdown"):
+        got = sorted(run(spark, [(1, lang, text, 1, "")]), key=lambda r: r.piece_no)
+        assert "".join(r.piece[r.overlap_chars :] for r in got) == text and got[-1].end_line == text.count("\n")
+
+
 def test_edges(spark):
     rows = [(1, None, "x" * 500, 1, ""), (2, "other", "x" * 500, 1, ""), (3, "python", None, 1, ""), (4, "python", "", 1, ""), (5, "python", "x" * 100, 1, ""), (None, "python", "x" * 101, 1, ""), (7, "zero", "🙂" * 5000, 1, "")]
     got = run(spark, rows)
