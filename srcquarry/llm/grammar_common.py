@@ -42,6 +42,14 @@ class TokenSymbols(dict):
         return symbol
 
 
+class Unreadable(Exception):
+    """A bracket group that has no reading: the text cannot be valid, whatever stands around the group."""
+
+
+#: Tokens of the start of a text that are looked at alone: a foreign token or unreadable group there settles the matter.
+START_TOKENS = (32, 128)
+
+
 class Reducer:
     """Reduces all bracket groups of a skeleton.
 
@@ -77,7 +85,9 @@ class Reducer:
                     seen[view] = self.views[view](inside)
                 if pattern.fullmatch(seen[view]):
                     mask |= bit
-        symbol = chr(_BASE[bracket] + mask) if mask else "\x00"
+        if not mask:
+            raise Unreadable
+        symbol = chr(_BASE[bracket] + mask)
         if len(whole) <= MEMO_LENGTH:
             if len(self.memo) > MEMO_SIZE:
                 self.memo.clear()
@@ -86,10 +96,15 @@ class Reducer:
 
     def reduce(self, skeleton: str) -> str | None:
         """The skeleton without brackets, or None if a group cannot be read or brackets do not match."""
-        while True:
-            shorter, n = _INNER.subn(self.group, skeleton)
-            if "\x00" in shorter:
-                return None
-            if not n:
-                return None if re.search(r"[()\[\]{}]", shorter) else shorter
-            skeleton = shorter
+        shorter = self.start(skeleton)
+        return None if shorter is None or re.search(r"[()\[\]{}]", shorter) else shorter
+
+    def start(self, skeleton: str) -> str | None:
+        """The skeleton of the start of a text with all whole groups reduced, or None if one of them cannot be read."""
+        try:
+            while True:
+                skeleton, n = _INNER.subn(self.group, skeleton)
+                if not n:
+                    return skeleton
+        except Unreadable:
+            return None

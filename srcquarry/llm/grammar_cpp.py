@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import chain, islice
 
-from .grammar_common import Reducer, TokenSymbols, symbols
+from .grammar_common import START_TOKENS, Reducer, TokenSymbols, symbols
 
 # The keywords of the language, grouped by the symbol used here.
 _WORDS = {
@@ -221,7 +222,20 @@ def valid(text: str) -> bool:
                 return False
         if depth:
             return False
-    tokens = [m[0] for m in _TOKEN.finditer(text)]
-    if _parses(tokens, _SYMBOLS, _REDUCER, _untemplate):
+    found = (m[0] for m in _TOKEN.finditer(text))
+    start: list[str] = []
+    for n in START_TOKENS:
+        start += islice(found, n - len(start))
+        plain = _starts(start, _SYMBOLS, _REDUCER)
+        if not plain and not _starts(start, _MACRO_SYMBOLS, _MACRO_REDUCER):
+            return False
+    tokens = list(chain(start, found))
+    if plain and _parses(tokens, _SYMBOLS, _REDUCER, _untemplate):
         return True
     return any(map(_MACRO.fullmatch, tokens)) and _parses(tokens, _MACRO_SYMBOLS, _MACRO_REDUCER, _without_macros)
+
+
+def _starts(tokens: list[str], symbols_of: TokenSymbols, reducer: Reducer) -> bool:
+    """Whether a text may go on from these first tokens: no foreign token, no whole group that cannot be read."""
+    skeleton = "".join([symbols_of[t] for t in tokens])
+    return "\x00" not in skeleton and reducer.start(skeleton) is not None

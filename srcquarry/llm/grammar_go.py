@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
-from .grammar_common import Reducer, TokenSymbols, symbols
+from .grammar_common import START_TOKENS, Reducer, TokenSymbols, symbols
 
 # The keywords of the language, with the symbols used here.
 _WORDS = {
@@ -123,9 +124,19 @@ _REDUCER, _UNIT, _UNIT_VIEW = _patterns()
 _SEMICOLON = re.compile(r"(?<=[a0\"brP)\]}])\n+")
 
 
+_PACKAGE = re.compile(r"[;\n]*(?:pa|\Z)")
+
+
 def valid(text: str) -> bool:
-    """Whether the text is a syntactically valid Go file."""
-    skeleton = "".join(map(_SYMBOLS.__getitem__, _TOKEN.findall(text.lstrip("﻿") + "\n")))
+    """Whether the text is a syntactically valid Go file.
+
+    The start of the text is looked at first, which settles most texts of other languages.
+    """
+    text = text.lstrip("\ufeff") + "\n"
+    start = "".join([_SYMBOLS[m[0]] for m in islice(_TOKEN.finditer(text), START_TOKENS[0])])
+    if "\x00" in start or not _PACKAGE.match(start):
+        return False
+    skeleton = "".join(map(_SYMBOLS.__getitem__, _TOKEN.findall(text)))
     if "\x00" in skeleton:
         return False
     flat = _REDUCER.reduce(_SEMICOLON.sub(";", skeleton).replace("\n", ""))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .layout import bundled, looks, shingles
-from .validity import judge
+from .validity import valid_in
 
 #: Share of shingles of five words (Jaccard) from which a file is a copy of a known file.
 COPY_SIMILARITY = 0.8
@@ -90,7 +90,7 @@ def classify_origin(files: DataFrame, known: DataFrame, *, key: str, path: str,
                         own = shingles(body)
                         copy = _copy_of(own, every, sets) if own and sets else None
                         origin = "vendored" if copy is not None else looks(body, lang)
-                    if (origin or not small) and judge(body, lang)[0] is False:
+                    if (origin or not small) and valid_in(body, lang) is False:
                         origin, copy = "invalid", None
                 origins.append(origin or "hand-written")
                 copies.append(copy)

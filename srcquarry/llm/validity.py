@@ -27,37 +27,32 @@ def ranked(text: str) -> list[str]:
     return sorted(found, key=lambda lang: (-found[lang], lang))
 
 
-def judge(text: str | None, language: str | None) -> tuple[bool | None, str | None]:
-    """Whether a text is valid in its language, and the language it parses as.
+def accepting(text: str) -> list[str]:
+    """The languages whose grammar accepts a text, most likely first; every grammar is tried."""
+    return [lang for lang in ranked(text) if GRAMMARS[lang](text)]
+
+
+def valid_in(text: str | None, language: str | None) -> bool | None:
+    """Whether a text is valid in its language. Markdown and blank texts always are; nothing can be said for null texts and unknown languages."""
+    if text is None or language != "markdown" and language not in GRAMMARS:
+        return None
+    return language == "markdown" or not text.strip() or GRAMMARS[language](text)
 
-    The text is parsed by the grammars in ranked order until one accepts it. The declared grammar always
-    has its say: it is tried first if the ranking does not start with another one, and in any case before
-    a text is called invalid. Markdown and blank texts are always valid; for an unknown or null language
-    and for a null text nothing can be said: (None, None).
-    """
-    if text is None:
-        return None, None
-    if language == "markdown" or language in GRAMMARS and not text.strip():
-        return True, language
-    if language not in GRAMMARS:
-        return None, None
-    order = ranked(text)
-    parses = None
-    for lang in order:
-        if GRAMMARS[lang](text):
-            parses = lang
-            break
-    if parses is None or parses == language:
-        return parses == language, parses
-    return GRAMMARS[language](text), parses
+
+def judge(text: str | None, language: str | None) -> tuple[bool | None, str | None]:
+    """Whether a text is valid in its language, and the language it parses as: its own if it is valid there, else the likeliest that accepts it."""
+    valid = valid_in(text, language)
+    return valid, language if valid else next(iter(accepting(text)), None) if valid is False else None
 
 
 def judge_files(files: DataFrame, *, key: list[str], text: str, language: str) -> DataFrame:
-    """One row per row of ``files``: key, ``valid``, ``parses_as``, ``verdict``.
+    """One row per row of ``files``: key, ``valid``, ``accepted_by``, ``parses_as``, ``verdict``.
 
-    ``verdict`` is 'valid', 'wrong_extension' (another grammar accepts the text, the declared one does
-    not), 'corrupt' (none does) or null (nothing can be said, see ``judge``). Repeated rows are judged
-    each; an empty table gives none; whole texts are parsed, however long. Only the named columns are read.
+    Every text is parsed by every grammar. ``accepted_by`` has all languages that accept it, most likely first
+    (none for blank texts); ``parses_as`` is the declared one if the text is valid there, else the first of them. ``verdict`` is 'valid', 'wrong_extension' (another grammar accepts the text, the declared one
+    does not; of Markdown, which is valid all the same, any grammar does), 'corrupt' (none does) or null (nothing
+    can be said: null texts, null and unknown languages). Repeated rows are judged each; an empty table gives
+    none; whole texts are parsed, however long. Only the named columns are read.
     """
     src = files.select(*[F.col(k) for k in key], F.col(language).alias("__lang"), F.col(text).alias("__text"))
     n = len(key)
@@ -65,14 +60,26 @@ def judge_files(files: DataFrame, *, key: list[str], text: str, language: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = [judge(t, lang) for lang, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            valid, accepted = [], []
+            for lang, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                blank = t is None or not t.strip()
+                accepted.append(None if t is None else [] if blank else accepting(t))
+                valid.append(valid_in(t, lang) if blank or lang not in GRAMMARS else lang in accepted[-1])
             columns = [batch.column(k) for k in range(n)]
-            columns += [pa.array([v for v, _ in verdicts], pa.bool_()), pa.array([p for _, p in verdicts], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "valid", "parses_as"])
-
-    out = src.mapInArrow(run, f"{fields}, valid boolean, parses_as string")
-    verdict = F.when(F.col("valid"), "valid").when(~F.col("valid") & F.col("parses_as").isNotNull(), "wrong_extension").when(~F.col("valid"), "corrupt")
-    return out.withColumn("verdict", verdict)
+            columns += [batch.column(n), pa.array(valid, pa.bool_()), pa.array(accepted, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "__lang", "valid", "accepted_by"])
+
+    out = src.mapInArrow(run, f"{fields}, __lang string, valid boolean, accepted_by array<string>")
+    foreign = F.size("accepted_by") > 0
+    verdict = (
+        F.when((F.col("__lang") == "markdown") & F.col("valid"), F.when(foreign, "wrong_extension").otherwise("valid"))
+        .when(F.col("valid"), "valid")
+        .when(~F.col("valid") & foreign, "wrong_extension")
+        .when(~F.col("valid"), "corrupt")
+    )
+    likeliest = F.get("accepted_by", F.lit(0))
+    parses_as = F.when(F.col("valid") & (F.col("__lang") != "markdown"), F.col("__lang")).otherwise(F.coalesce(likeliest, F.when(F.col("valid"), F.col("__lang"))))
+    return out.select(*key, "valid", "accepted_by", parses_as.alias("parses_as"), verdict.alias("verdict"))
 
 
 def invalid_rates(judged: DataFrame, by: list[str]) -> DataFrame:

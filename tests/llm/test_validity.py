@@ -151,3 +151,16 @@ def test_macros_around_declarations():
     assert grammar_cpp.valid(text)
     assert not grammar_cpp.valid(text.replace("return MAX_SIZE + 1;", "return MAX_SIZE + ;")) and not grammar_cpp.valid(text.replace("int b)", "int b"))
     assert not grammar_cpp.valid("int f() {\n  const std::string API_TOKEN = \n}\n")
+
+
+def test_every_grammar_is_tried(spark):
+    both = "x = (1);\n"
+    rows = [("a", "python", both), ("b", "cpp", "int x = (1);\n"), ("c", "markdown", GO), ("d", "markdown", "# Title\n\nplain prose, nothing else\n"), ("e", None, GO), ("f", "go", " \n")]
+    got = {r.p: r for r in judge_files(spark.createDataFrame(rows, "p string, language string, content string"), key=["p"], text="content", language="language").collect()}
+    assert got["a"].accepted_by == ["python"] and got["b"].accepted_by == ["cpp"] and got["f"].accepted_by == [] and got["f"].verdict == "valid"
+    assert (got["c"].valid, got["c"].verdict, got["c"].parses_as) == (True, "wrong_extension", "go") and got["d"].verdict == "valid" and got["e"].accepted_by == ["go"]
+
+
+@pytest.mark.parametrize("tail, ok", [("", True), ("int g( {\n", False), ("int h() { return 1 + ; }\n", False), ("@", False)])
+def test_errors_far_behind_the_start(tail, ok):
+    assert grammar_cpp.valid("int f(int a) { return a + 1; }\n" * 400 + tail) == ok
