@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 # Directory names that hold bundled third-party code, and head comments that tell the origin of a file.
 BUNDLED_DIRS = frozenset(
-    "vendor vendored _vendor third_party thirdparty third-party 3rdparty external externals deps node_modules bower_components godeps bundled jspm_packages site-packages".split()
+    "vendor vendors vendored _vendor _vendored third_party third-party thirdparty third_parties _third_party 3rdparty 3rd_party 3rd-party external externals extern externs "
+    "deps _deps node_modules bower_components web_modules jspm_packages godeps bundled bundles submodules subprojects pods carthage site-packages dist-packages".split()
 )
 GENERATED_HEAD = re.compile(
     r"(?i)^\W*(?:code generated\b|generated (?:by|from|with|code|file)\b|(?:<|@)?auto-?_?generated\b|@generated\b|autogenerated\b|automatically generated\b"
@@ -29,33 +30,44 @@ _SKIP = re.compile(
 )
 _NUMBER = re.compile(r"\b\d[\w.]*")
 _NAME = re.compile(r"[^\W\d]\w*")
-_ONE_LINE = re.compile(r"^[ \t]*(?:async |def |if |for |while |class |else|try|with )[^\n]*?:[ \t]*[^\s:]", re.M)
+_DIGITS = re.compile(r"\d+")
 _FOR = re.compile(r"\bfor\s*\([^){}]*;[^){}]*;")
-_TOP = re.compile(r"^[^\s})\]]", re.M)
-_NUMBERED = re.compile(r"^(?:func \([^)\n]*\) |[^\s})\]][^\n(=]*?)?[A-Za-z_]{3,}\d+\b", re.M)
 _LOGIC = re.compile(r"\b(?:def|func|return|import|class|for|if|lambda|while|switch)\b|^[ \t]*#[ \t]*include", re.M)
-_HEAD_END = re.compile(r"\s*(?://|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|undef|line)\b)|/\*|\*|<!--|\"\"\"|'''|;|--)")
+_HEAD_END = re.compile(r"\s*(?://|#(?!\s*(?:include|pragma|define|if|ifdef|ifndef|undef|line)\b)|/\*|\*|<!--|\"\"\"|\'\'\'|;|--)")
 _KEYWORDS = frozenset(
     "def class func type struct interface const var static inline constexpr int long void bool auto return import from package if for while switch template public private async int32 int64 string byte map range enum namespace lambda".split()
 )
+_SPACE = re.compile(r"[ \t]+")
+_BREAK = re.compile(r"[ \t]*([{;}])[ \t]*\n?")
+_JOINED = re.compile(r"(?<=[^\s;{}\x0f])[ \t]*\n[ \t]*(?!#)")
+_DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*", re.M)
+_GO_ON = re.compile(r"(?<=[(\[,.+\-*/%&|^<>=!:])[ \t]*\n[ \t]*|(?<=[A-Za-z0-9_)\]}\"])[ \t]*\n[ \t]*(?=[)\]])")
+# Brackets and colons that are done with, while the ones around them are looked for.
+_HIDE = str.maketrans("()[]{}:;", "\x03\x04\x05\x06\x07\x08\x0e\x02")
+_SHOW = {b: a for a, b in _HIDE.items()}
+_PY_OPEN = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+_BLOCK = re.compile(r"((?:async )?(?:def|if|elif|for|while|class|else|try|with|except|finally)\b[^\n]*?:)[ \t]+(?=[^\s#])")
 
 #: Canonical lines per original line from which a file is minified, and the line length that goes with it.
 MINIFIED_EXPANSION = 1.6
 MINIFIED_WIDTH = 140
 #: Share of the code's characters in literal data from which a file without functions is a data blob.
 DATA_SHARE = 0.85
-#: Share of the declarations with one of the two commonest forms, and numbered, from which a file is generated.
+#: Share of the declarations in one of the two commonest forms from which a file is generated.
 UNIFORM_SHARE = 0.9
 UNIFORM_LEAST = 6
+#: Share of these that must count on, which tells the output of a loop from a list of settings.
+COUNTED_SHARE = 0.6
 
 
 class Layout(NamedTuple):
     lines: int
     canonical_lines: int
+    same_lines: int
     width: float
     data_share: float
     uniform_share: float
-    numbered_share: float
+    counted_share: float
     declarations: int
     logic: bool
 
@@ -82,25 +94,70 @@ def bundled(path: str | None) -> bool:
     return any(part.lower() in BUNDLED_DIRS for part in (path or "").split("/")[:-1])
 
 
-def layout(text: str, language: str | None) -> Layout:
-    """Lex a file, write it anew one statement per line, and measure the original against that.
+def canonical(code: str, language: str | None) -> list[tuple[int, str]]:
+    """The lines of lexed code written anew: (depth, statement), blanks reduced to single ones.
 
-    Python statements end at line ends, semicolons and the colon of a one-line block; statements of the
-    other languages end at semicolons outside the head of a loop, and at braces. Literal data are numbers and
-    long string literals without words.
+    Python: one statement a line, brackets closed on their line, bodies below the colon, depth by indentation.
+    Other languages: a line ends at a semicolon outside the head of a loop and at braces, in Go also where a
+    statement ends with its line; depth by braces. Preprocessor lines stay lines.
+    """
+    rows: list[tuple[int, str]] = []
+    if language == "python":
+        pad, n = code, 1
+        while n:  # brackets from the inside out: their line breaks become blanks
+            pad, n = _PY_OPEN.subn(lambda m: m[0].replace("\n", " ").translate(_HIDE), pad)
+        levels = [0]
+        for line in pad.split("\n"):
+            text = line.strip()
+            if not text:
+                continue
+            indent = len(line) - len(line.lstrip())
+            while indent < levels[-1]:
+                levels.pop()
+            if indent > levels[-1]:
+                levels.append(indent)
+            depth = len(levels) - 1
+            for part in text.split(";"):
+                while m := _BLOCK.match(part.strip()):
+                    rows.append((depth, _SPACE.sub(" ", m[1])))
+                    part, depth = part.strip()[m.end() :], depth + 1
+                if part.strip():
+                    rows.append((depth, _SPACE.sub(" ", part.strip())))
+        return [(depth, row.translate(_SHOW)) for depth, row in rows]
+    flat = _DIRECTIVE.sub(lambda m: m[0].translate(_HIDE) + "\x0f", code) if "#" in code else code
+    flat = _FOR.sub(lambda m: m[0].replace(";", "\x02"), flat)
+    flat = (_GO_ON if language == "go" else _JOINED).sub(" ", flat)
+    depth = 0
+    for line in _BREAK.sub(lambda m: " {\n" if m[1] == "{" else ";\n" if m[1] == ";" else "\n}\n", flat).split("\n"):
+        text = line.strip()
+        if not text:
+            continue
+        if text == "}":
+            depth = max(0, depth - 1)
+        rows.append((depth, _SPACE.sub(" ", text)))
+        if text[-1] == "{":
+            depth += 1
+    return [(depth, row.translate(_SHOW).rstrip("\x0f")) for depth, row in rows]
+
+
+def layout(text: str, language: str | None) -> Layout:
+    """Lex a file, write it anew in canonical form, and measure the original against that.
+
+    ``same_lines`` of the original stand in the canonical form as they are, ``canonical_lines`` against ``lines``
+    is how far the file expands. A declaration is a canonical line at depth 0 with all deeper lines that follow.
+    Declarations have the same form if they differ in names and numbers only and if their originals have the same
+    layout; ``uniform_share`` is that of the two commonest forms, ``counted_share`` the share of declarations of
+    these forms whose numbers or numbered names count on from those of the one before. Literal data are numbers
+    and long string literals without words.
     """
-    python = language == "python"
     data = 0
-    includes = 0
 
     def lex(m: re.Match) -> str:
-        nonlocal data, includes
+        nonlocal data
         t = m[0]
         c = t[0]
         if c == "#":
-            if not python and re.match(r"#[ \t]*(?:include|define|pragma)", t):
-                includes += 1
-            return ""
+            return t if language != "python" and re.match(r"#[ \t]*(?:include|define|pragma|if|el|end|undef|error|line)", t) else ""
         if c == "/":
             return "\n" if "\n" in t else ""
         n = len(t)
@@ -110,41 +167,42 @@ def layout(text: str, language: str | None) -> Layout:
         return '""'
 
     code = _SKIP.sub(lex, text.replace("\r", ""))
-    rows = [r for r in code.split("\n") if r and not r.isspace()]
-    lines = len(rows) + includes
+    original = [_SPACE.sub(" ", r.strip()) for r in code.split("\n") if r and not r.isspace()]
+    rows = canonical(code, language)
+    there = Counter(r for _, r in rows)
+    same = sum((there & Counter(original)).values())
     size = len(code) - code.count(" ") - code.count("\t") - code.count("\n")
-    if python:
-        canonical = lines + code.count(";") + sum(1 for _ in _ONE_LINE.finditer(code))
-    else:
-        canonical = includes + code.count(";") + code.count("{") + code.count("}") - 2 * sum(1 for _ in _FOR.finditer(code))
     digits = sum(map(len, _NUMBER.findall(code)))
     if digits * 3 > size:  # in tables, separators belong to the data
         digits += code.count(",")
-    logic = includes > 0 or _LOGIC.search(code) is not None
-    tops = sum(1 for _ in _TOP.finditer(code))
-    uniform = numbered = 0.0
-    n = 0
-    if tops >= UNIFORM_LEAST and sum(1 for _ in _NUMBERED.finditer(code)) >= 0.5 * tops:
-        shape = _NUMBER.sub("0", code)
-        forms: Counter[str] = Counter()
-        marked: Counter[str] = Counter()
-        for form, original in zip(re.split(r"\n(?=[^\s})\]])", shape.strip("\n")), re.split(r"\n(?=[^\s})\]])", code.strip("\n"))):
-            if form.startswith(("import", "from ", "package")):
-                continue
-            head = original.split("=")[0].split("(")[-2 if original.startswith("func (") and original.count("(") > 1 else 0][:120]
-            key = _NAME.sub(lambda m: m[0] if m[0] in _KEYWORDS else "a", form)
-            key = re.sub(r"\s+", " ", key).strip()
-            if not key:
-                continue
-            forms[key] += 1
-            if re.search(r"[A-Za-z_]{3,}\d+\b", original[:160] if original.startswith("func") else head):
-                marked[key] += 1
-        n = sum(forms.values())
-        best = forms.most_common(2)
-        uniform = sum(v for _, v in best) / n if n else 0.0
-        numbered = sum(marked[k] for k, _ in best) / n if n else 0.0
-    width = (len(text) - text.count(" ")) / max(1, lines)
-    return Layout(lines, canonical, width, min(1.0, (data + digits) / size) if size else 0.0, uniform, numbered, n, logic)
+    uniform, counted, n = _uniformity(rows)
+    width = (len(text) - text.count(" ")) / max(1, len(original))
+    return Layout(len(original), len(rows), same, width, min(1.0, (data + digits) / size) if size else 0.0, uniform, counted, n, _LOGIC.search(code) is not None)
+
+
+def _uniformity(rows: list[tuple[int, str]]) -> tuple[float, float, int]:
+    """Share of the declarations in the two commonest forms, share of these that count on, and number of declarations."""
+    starts = [i for i, (depth, row) in enumerate(rows) if depth == 0 and row != "}" and not row.startswith(("import", "from ", "package", "#"))]
+    if len(starts) < UNIFORM_LEAST:
+        return 0.0, 0.0, len(starts)
+    heads = Counter(_form(rows[i][1]) for i in starts)
+    if sum(v for _, v in heads.most_common(2)) < UNIFORM_SHARE * len(starts):
+        return 0.0, 0.0, len(starts)
+    forms: Counter[str] = Counter()
+    counts: dict[str, list[int]] = {}
+    for i, j in zip(starts, [*starts[1:], len(rows)]):
+        form = "\n".join(f"{depth} {_form(row)}" for depth, row in rows[i:j])
+        forms[form] += 1
+        number = _DIGITS.findall(rows[i][1].split("=")[0])
+        counts.setdefault(form, []).append(int(number[-1][-9:]) if number else -1)
+    best = [f for f, _ in forms.most_common(2)]
+    steps = [0 <= b - a <= 4 for f in best for a, b in zip(counts[f], counts[f][1:]) if b >= 0 and a >= 0]
+    whole = sum(max(0, len(counts[f]) - 1) for f in best)
+    return sum(forms[f] for f in best) / len(starts), sum(steps) / whole if whole else 0.0, len(starts)
+
+
+def _form(row: str) -> str:
+    return _NAME.sub(lambda m: m[0] if m[0] in _KEYWORDS else "a", _NUMBER.sub("0", row))
 
 
 def shingles(text: str, size: int = 5) -> set[tuple[str, ...]]:
@@ -167,9 +225,9 @@ def looks(text: str, language: str | None) -> str | None:
     f = layout(text, language)
     if f.data_share >= DATA_SHARE and not f.logic and len(text) >= 120:
         return "data"
-    if f.uniform_share >= UNIFORM_SHARE and f.numbered_share >= 0.6 and f.declarations >= UNIFORM_LEAST:
-        return "generated"
     expansion = f.canonical_lines / max(1, f.lines)
     if f.canonical_lines >= 8 and (expansion >= 6 or expansion >= MINIFIED_EXPANSION and (f.width >= MINIFIED_WIDTH or language == "python")):
         return "minified"
+    if f.uniform_share >= UNIFORM_SHARE and f.declarations >= UNIFORM_LEAST and f.counted_share >= COUNTED_SHARE:
+        return "generated"
     return None

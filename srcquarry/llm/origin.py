@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import cut
 from .layout import bundled, looks, shingles
 from .validity import valid_in
 
@@ -35,7 +36,9 @@ def _hash64(shingle: tuple[str, ...]) -> int:
 def _copies_by_join(files: DataFrame, known: DataFrame, text: str) -> DataFrame:
     """``digest`` and ``copy_of`` of the texts that are copies of a known one, by a join on shingle hashes; both sides may be large.
 
-    Texts are told apart by their SHA-256, known files by name and SHA-256.
+    Texts are told apart by their SHA-256, known files by name and SHA-256. Only the rarest hashes of a text are
+    joined, which is exact: two texts that share the needed part of their hashes share one of these. Shingles of a
+    licence in every file are the last to be among them.
     """
 
     def hashes(df: DataFrame, name: Column, body: str) -> DataFrame:
@@ -48,10 +51,19 @@ def _copies_by_join(files: DataFrame, known: DataFrame, text: str) -> DataFrame:
         return rows.dropDuplicates(["name", "digest"]).mapInArrow(run, "name string, digest string, hs array<bigint>")
 
     a, k = hashes(files, F.lit(""), text), hashes(known, F.coalesce("name", F.lit("")), "content")
-    left = a.select("digest", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    right = k.select("name", F.col("digest").alias("known"), F.size("hs").alias("m"), F.explode("hs").alias("h"))
-    pairs = left.join(right, "h").groupBy("digest", "name", "known", "n", "m").agg(F.count("*").alias("c"))
-    alike = pairs.select("digest", "name", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("alike")).where(F.col("alike") >= COPY_SIMILARITY)
+    a, k = cut(a.select("digest", "hs").where(F.size("hs") > 0)), cut(k.select("name", F.col("digest").alias("known"), "hs").where(F.size("hs") > 0))
+    frequency = k.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("f"))
+
+    def rarest(df: DataFrame, id_: list[str]) -> DataFrame:
+        """The hashes of each text that must hold one of any copy's: the rarest ones, as many as a copy may lack, and one more."""
+        w = Window.partitionBy(*id_).orderBy(F.coalesce("f", F.lit(0)), "h")
+        rows = df.select(*id_, F.size("hs").alias("n"), F.explode("hs").alias("h")).join(frequency, "h", "left").withColumn("r", F.row_number().over(w))
+        return rows.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * COPY_SIMILARITY) + 1) & F.col("f").isNotNull()).select(*id_, "h")
+
+    near = rarest(a, ["digest"]).join(rarest(k, ["name", "known"]), "h").select("digest", "name", "known").distinct()
+    sets = near.join(a, "digest").join(k.withColumnRenamed("hs", "ks"), ["name", "known"])
+    common = F.size(F.array_intersect("hs", "ks"))
+    alike = sets.select("digest", "name", (common / (F.size("hs") + F.size("ks") - common)).alias("alike")).where(F.col("alike") >= COPY_SIMILARITY)
     return alike.groupBy("digest").agg(F.max(F.struct("alike", "name"))["name"].alias("copy_of"))
 
 

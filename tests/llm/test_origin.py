@@ -1,7 +1,7 @@
 import random
 
 from srcquarry.llm import origin
-from srcquarry.llm.layout import bundled, looks
+from srcquarry.llm.layout import bundled, canonical, layout, looks
 from srcquarry.llm.origin import classify_origin
 
 HAND = 'import os\n\n\ndef alpha(value):\n    """Doc."""\n    total = 0\n    for item in value:\n        total += item * 3\n    return total\n\n\nclass Beta:\n    size = 3\n\n    def gamma(self):\n        if self.size > 2:\n            return os.sep\n        return None\n'
@@ -65,3 +65,32 @@ def test_both_paths_agree_on_versions_names_and_keys(spark, monkeypatch):
 def test_head_comment_of_any_length():
     licence = "# All rights reserved, as the licence of this part says.\n" * 600
     assert looks(licence + "# Code generated by tool. DO NOT EDIT.\n" + HAND, "python") == looks("# Code generated by tool. DO NOT EDIT.\n" + HAND, "python") == "generated"
+
+
+def test_canonical_form():
+    assert canonical("def f(a,\n      b): return a; x = 1\nif a:\n  for i in a: g(i)\n", "python") == [
+        (0, "def f(a, b):"), (1, "return a"), (1, "x = 1"), (0, "if a:"), (1, "for i in a:"), (2, "g(i)")]
+    assert canonical("int f(int a){for(int i=0;i<3;++i)a^=i;\n  return   a;}\n#define X 1\nint g;", "cpp") == [
+        (0, "int f(int a) {"), (1, "for(int i=0;i<3;++i)a^=i;"), (1, "return a;"), (0, "}"), (0, "#define X 1"), (0, "int g;")]
+    assert canonical("package x\n\nfunc F(\n\ta int,\n) int {\n\treturn a +\n\t\t1\n}\n", "go") == [(0, "package x"), (0, "func F( a int, ) int {"), (1, "return a + 1"), (0, "}")]
+
+
+def test_layout_measures_the_original_against_the_canonical_form():
+    neat = "int a = 1;\nint b = 2;\nvoid f() {\n  a = 2;\n}\n"
+    f, tight = layout(neat, "cpp"), layout(neat.replace("\n", ""), "cpp")
+    assert (f.lines, f.canonical_lines, f.same_lines) == (5, 5, 5) and (tight.lines, tight.canonical_lines, tight.same_lines) == (1, 5, 0)
+    settings = "".join(f"{n.upper()} = {i * 37 % 11}\n" for i, n in enumerate("alpha beta gamma delta rho tau phi chi".split()))
+    g, s = layout(GETTERS, "python"), layout(settings, "python")
+    assert (g.uniform_share, g.counted_share) == (1.0, 1.0) and (s.uniform_share, s.counted_share) == (1.0, 0.0) and looks(settings, "python") is None
+
+
+def test_many_known_files_with_a_shared_licence_agree_on_both_ways(spark, monkeypatch):
+    licence = "# " + " ".join(f"word{i} of the licence" for i in range(12)) + "\n"
+    body = lambda v: licence + "".join(f"value_{v}_{i} = call_{v}({i}, other)\n" for i in range(70))
+    known = spark.createDataFrame([(f"l/{v}", body(v)) for v in range(300)], "name string, content string")
+    rows = [(str(v), "x.py", body(v) + ("y = 1\n" * (v % 3)), "python") for v in range(250, 350)]
+    files = spark.createDataFrame(rows, "id string, path string, content string, language string")
+    run = lambda: sorted(tuple(r) for r in classify_origin(files, known, key="id", path="path", text="content", language="language").select("id", "copy_of").na.fill("-").collect())
+    small = run()
+    monkeypatch.setattr(origin, "MAX_KNOWN_FILES", 0)
+    assert run() == small == [(str(v), f"l/{v}" if v < 300 else "-") for v in range(250, 350)]
