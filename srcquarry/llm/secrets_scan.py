@@ -156,10 +156,37 @@ _PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\
 _CONTENT = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01", b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x02")
 
 
+_OPENSSH = b"openssh-key-v1\0"
+
+
+def _openssh(data: bytes) -> bool:
+    """Whether bytes are an OpenSSH private key, or its start: cipher, derivation and its options, number of keys, public keys, private part."""
+    at, end = len(_OPENSSH), len(data)
+
+    def string(most: int) -> bytes | None:
+        """The next length-prefixed field, cut off where the data end; None if its length cannot be."""
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big") if at + 4 <= end else 0
+        if size > most:
+            return None
+        field, at = data[at + 4 : at + 4 + size], at + 4 + size
+        return field
+
+    for most in (64, 64):  # names
+        name = string(most)
+        if name is None or not all(33 <= b < 127 for b in name):
+            return False
+    if string(1 << 12) is None:
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big") if at + 4 <= end else 1
+    at += 4
+    return 1 <= keys <= 64 and all(string(1 << 16) is not None for _ in range(min(keys, 64))) and string(1 << 24) is not None
+
+
 def key_container(data: bytes) -> str | None:
-    """The kind of private key a binary text holds: DER by its grammar (PKCS#1, PKCS#8 also encrypted, PKCS#12, SEC1), OpenSSH by its magic."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return "openssh"
+    """The kind of private key a binary text holds, by its grammar: PKCS#1, PKCS#8 also encrypted, PKCS#12, SEC1 in DER, OpenSSH also cut off."""
+    if data.startswith(_OPENSSH):
+        return "openssh" if _openssh(data) else None
     top = _der(data, 0, len(data))
     if not top or top[0] != 0x30 or len(data) - top[2] > 4 or top[2] - top[1] < 24:
         return None
@@ -260,6 +287,28 @@ def _joined(text: str):
                 yield spans, found
 
 
+_ARMOUR = re.compile(r"^[\w-]+: [^\n]*$|^\s*(?://+|[#*]+)|[\"'`][\s+.,;()\\]*[\"'`]?|\\[nrt]|[\s,;()|>*#\\-]+", re.M)
+_MATERIAL = re.compile(r"[A-Za-z0-9+/=_]+")
+
+
+def pem_kind(body: str) -> str | None:
+    """The kind of key between the markers of a PEM block.
+
+    The body is freed of header lines, quotes, escapes and signs of comments and joins, decoded and read by the
+    grammars of key containers. 'pem' is a body of key material in no known container, as in blocks cut off; None
+    is a body of other text.
+    """
+    lines = [x for x in _ARMOUR.split(body.replace("\\n", "\n").replace("\\r", "")) if x]
+    material = [x for x in lines if _MATERIAL.fullmatch(x)]
+    whole = "".join(material)
+    data = _unbase64(whole)
+    kind = key_container(data) if data else None
+    if kind:
+        return kind
+    long = sum(len(x) for x in material if len(x) >= 16 and not x.isalpha())
+    return "pem" if long and long >= 0.7 * sum(map(len, lines)) else None
+
+
 def _layers_hold(data: bytes) -> bool:
     """Whether an opened literal holds a credential in any layer. A layer has fewer characters than its literal, so this ends."""
     todo = [data]
@@ -415,7 +464,7 @@ def _plain(text: str, language: str | None) -> list[Hit]:
                 stop = quote.start() if quote else stop
             if not end and not text[m.end() :].strip(" \t\r\n\\n\"'"):
                 hits.append(Hit(m.start(), m.end(), "pem"))  # the text ends here, the key goes on elsewhere
-            elif stop - m.end() > 20 and not re.fullmatch(r"[\s.*x<>\w-]{0,24}", text[m.end() : end.start() if end else stop].replace("\\n", "")):
+            elif pem_kind(text[m.end() : end.start() if end else stop]):
                 hits.append(Hit(m.start(), stop, "pem"))
             at = stop
     for m in _SHAPES.finditer(text):
