@@ -17,14 +17,17 @@ def doc_pairs(chunks: DataFrame, *, key: str, language: str, body: str, doc: str
     ``body`` is the source text of a chunk and ``doc`` the comments before it (null or empty: none).
     Functions with no or trivial documentation give no row, nor do rows with a null body or a
     language other than python, go and cpp. Repeated rows repeat their pairs; an empty table gives
-    none. Only the named columns are read. Rows that hold neither comments nor quotes are dropped
-    before anything is sent to Python.
+    none. Only the named columns are read. ``signature`` ends with the colon or before the brace of the body, ``code`` is the
+    function from its signature to the end of its body. Rows in which no comment or string can document a function
+    are dropped before anything is sent to Python.
     """
     src = chunks.select(
         F.col(key).alias("key"), F.col(language).alias("language"), F.col(body).alias("body"), F.col(doc).alias("doc")
     ).where(F.col("language").isin("python", "go", "cpp") & (F.length("body") > 0))
-    marks = F.when(F.col("language") == "python", F.col("body").rlike("[\"'#]")).when(
-        F.col("language") == "cpp", F.col("body").rlike("^\\s*(template[^{;]*)?(class|struct|union)\\b") & F.col("body").rlike("/[/*]")
+    marks = (
+        F.when(F.col("language") == "python", F.col("body").rlike("[\"'#]"))
+        .when(F.col("language") == "go", F.col("body").rlike(r"(//[^\n]*|\*/)\s*func\b"))
+        .otherwise(F.col("body").rlike("/[/*]") & F.col("body").rlike(r"\b(class|struct|union|namespace|extern)\b|[};]\s*/[/*]|\A\s*/[/*]"))
     )
     src = src.where((F.length("doc") > 0) | F.coalesce(marks, F.lit(False)))
     key_type = src.schema["key"].dataType.simpleString()
