@@ -38,15 +38,14 @@ class Plan(NamedTuple):
 
 
 def draw_counts(shard: int, slots: int, shares: list[float], seed: int) -> np.ndarray:
-    """Slots of each source in one shard: the whole part of the expectation, and a multinomial draw for the rest."""
-    expected = np.asarray(shares) * slots
-    whole = np.floor(expected + 1e-9).astype(np.int64)
-    rest = slots - int(whole.sum())
-    if rest > 0:
-        part = np.maximum(expected - whole, 0.0)
-        part = part / part.sum() if part.sum() > 0 else np.asarray(shares)
-        whole = whole + np.random.default_rng([seed, shard]).multinomial(rest, part)
-    return whole
+    """Slots of each source in one shard: a multinomial draw."""
+    p = np.asarray(shares, dtype=float)
+    return np.random.default_rng([seed, shard]).multinomial(slots, p / p.sum()).astype(np.int64)
+
+
+def slot_sources(shard: int, counts: np.ndarray, seed: int) -> np.ndarray:
+    """The source of each slot of a shard: the drawn counts in random order."""
+    return np.random.default_rng([seed, shard, 1]).permutation(np.repeat(np.arange(len(counts)), counts))
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -103,13 +102,12 @@ def token_blocks(sized: DataFrame, *, key: str, block: int = BLOCK_TOKENS, bucke
     return parts.select("source", F.col("block_no").cast("bigint").alias("block_no"), key, start.cast("bigint").alias("token_start"), end.cast("bigint").alias("token_end"))
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, *, block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> Plan:
-    """The size of the mix: as many slots as every source can fill at its share without exceeding its repeats.
-
-    That is the least capacity over share, so the scarcest source is used up; what it happens to draw beyond its
-    capacity is left out by ``mix_slots`` and costs no other source a slot.
+def plan_mix(sized: DataFrame, targets: DataFrame, *, block: int = BLOCK_TOKENS) -> Plan:
+    """What each source has and may give, and a bound of the slots of the mix.
 
-    Sources without tokens cannot contribute; their shares go to the others in proportion.
+    The mix ends where its scarcest source is used up (see ``mix_slots``); that is near the least capacity over
+    share, and ``slots`` lies far enough above it for the spread of the draws. Sources without tokens cannot
+    contribute; their shares go to the others in proportion.
     """
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     rows = targets.join(sums, "source").where((F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).orderBy("source").collect()
@@ -119,61 +117,76 @@ def plan_mix(sized: DataFrame, targets: DataFrame, *, block: int = BLOCK_TOKENS,
     shares = [r["target_share"] / total for r in rows]
     blocks = [-(-int(r["tokens"]) // block) for r in rows]
     repeats = [int(r["max_repeats"]) for r in rows]
-    slots = min(math.floor(b * k / s + 1e-6) for b, k, s in zip(blocks, repeats, shares))
+    slots = min(math.ceil((c + 12 * math.sqrt(c) + 40) / s) for c, s in zip((b * k for b, k in zip(blocks, repeats)), shares))
     return Plan([r["source"] for r in rows], shares, blocks, [int(r["tokens"]) for r in rows], repeats, slots)
 
 
+_SLOTS = "shard bigint, slot bigint, source string, block_no bigint, pass_no int"
+
+
 def mix_slots(spark, plan: Plan, *, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Slots of the mix: ``shard``, ``slot``, ``source``, ``block_no``, ``pass_no`` (from 0).
 
-    A slot that would exceed its source's repeats is left out; only the spread of the draws, and only of a source
-    that is used up, makes such slots.
+    Shards of equal size draw their counts, and the order of their slots, one after the other without end; the mix
+    is all slots before the first one that would exceed its source's repeats. So every slot number is taken
+    once, none is left out, and no source is used more often than it may be.
     """
     if not plan.slots:
-        return spark.createDataFrame([], "shard bigint, slot bigint, source string, block_no bigint, pass_no int")
+        return spark.createDataFrame([], _SLOTS)
     shards = -(-plan.slots // shard_slots)
-    last = plan.slots - (shards - 1) * shard_slots
-    sources, shares = plan.sources, plan.shares
+    sources, shares, blocks = plan.sources, plan.shares, plan.blocks
+    capacity = [b * k for b, k in zip(blocks, plan.repeats)]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard, source, n = [], [], []
-            for k in b.column(0).to_pylist():
-                for name, c in zip(sources, draw_counts(k, last if k == shards - 1 else shard_slots, shares, seed)):
-                    shard.append(k)
-                    source.append(name)
-                    n.append(int(c))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(source, pa.string()), pa.array(n, pa.int64())], ["shard", "source", "n"])
-
-    counts = spark.range(shards).mapInArrow(draw, "shard bigint, source string, n bigint")
-    placed = running_sum(counts, group=["source"], order=["shard"], value="n", name="at", bucket=F.floor(F.col("shard") / 4096))
-    order = {s: i for i, s in enumerate(sources)}
-    blocks, repeats = plan.blocks, plan.repeats
+            shard = b.column(0).to_pylist()
+            counts = [draw_counts(k, shard_slots, shares, seed) for k in shard]
+            n = len(sources)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.asarray(shard, dtype=np.int64), n)),
+                    pa.array(np.tile(np.arange(n, dtype=np.int32), len(shard))),
+                    pa.array(np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)),
+                ],
+                ["shard", "source_no", "n"],
+            )
+
+    counts = spark.range(shards).mapInArrow(draw, "shard bigint, source_no int, n bigint")
+    placed = running_sum(counts, group=["source_no"], order=["shard"], value="n", name="at", bucket=F.floor(F.col("shard") / 4096))
+    full = F.array(*[F.lit(c) for c in capacity])[F.col("source_no")]
+    last = placed.where(F.col("at") + F.col("n") > full).agg(F.min("shard").alias("s")).first()["s"]
+    starts = F.transform(F.array_sort(F.collect_list(F.struct("source_no", "at"))), lambda x: x["at"])  # one entry for each source
+    used = (placed.where(F.col("shard") <= last) if last is not None else placed).groupBy("shard").agg(starts.alias("starts"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, source, n, at in zip(*(b.column(i).to_pylist() for i in range(4))):
-                i = order[source]
-                index = np.arange(at, min(at + n, blocks[i] * repeats[i]), dtype=np.int64)
-                if not len(index):
-                    continue
-                pass_no = index // blocks[i]
-                number = np.empty(len(index), dtype=np.int64)
-                for p in np.unique(pass_no):
-                    own = pass_no == p
-                    number[own] = permute(index[own] % blocks[i], blocks[i], _source_key(source, int(p), seed))
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of = slot_sources(k, draw_counts(k, shard_slots, shares, seed), seed)
+                index = np.empty(len(of), dtype=np.int64)
+                for i in range(len(sources)):
+                    own = of == i
+                    index[own] = at[i] + np.arange(int(own.sum()))
+                over = np.flatnonzero(index >= np.asarray(capacity)[of])
+                n = int(over[0]) if len(over) else len(of)
+                of, index = of[:n], index[:n]
+                size = np.asarray(blocks, dtype=np.int64)[of]
+                pass_no, number = index // size, index % size
+                for i in np.unique(of):
+                    for p in np.unique(pass_no[of == i]):
+                        own = (of == i) & (pass_no == p)
+                        number[own] = permute(number[own], blocks[i], _source_key(sources[i], int(p), seed))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(index), k, dtype=np.int64)),
-                        pa.array(index - at),
-                        pa.array([source] * len(index), pa.string()),
+                        pa.array(np.full(n, k, dtype=np.int64)),
+                        pa.array(np.arange(n, dtype=np.int64)),
+                        pa.array(np.asarray(sources, dtype=object)[of], pa.string()),
                         pa.array(number),
                         pa.array(pass_no.astype(np.int32)),
                     ],
                     ["shard", "slot", "source", "block_no", "pass_no"],
                 )
 
-    return placed.select("shard", "source", "n", "at").mapInArrow(fill, "shard bigint, slot bigint, source string, block_no bigint, pass_no int")
+    return used.mapInArrow(fill, _SLOTS)
 
 
 def sized_records(documents: DataFrame, targets: DataFrame, *, key: str, text: str, source: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
