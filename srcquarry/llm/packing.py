@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import DEFAULT_VOCABULARY, cut_to
 
@@ -116,16 +117,17 @@ def pack_documents(
     and are put in all the same. An empty table gives no containers; repeated rows are packed each. Only
     the named columns are read.
 
-    The number of shards follows the number of rows, so a shard stays bounded however large the table is,
-    and a hash of the key and the text's length spreads rows evenly, whatever the key is like.
+    The number of shards follows the number of rows, so a shard stays bounded however large the table is, and a
+    hash of the key and the row's place in its task spreads rows evenly, however often a key or row is repeated.
     """
     n = documents.count()
     shards = max(1, -(-n // shard_items))
     src = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     key_type = src.schema["k"].dataType.simpleString()
-    arrow_key = pa.string() if key_type == "string" else pa.int64() if key_type == "bigint" else pa.int32()
+    arrow_key = to_arrow_type(src.schema["k"].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
             keys, part, parts, sizes, texts = [], [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -136,14 +138,16 @@ def pack_documents(
                     parts.append(len(pieces))
                     sizes.append(size)
                     texts.append(piece)
+            at = pa.array(range(seen, seen + len(keys)), pa.int64())
+            seen += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, arrow_key), pa.array(part, pa.int32()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string())],
-                ["k", "part", "parts", "size", "t"],
+                [pa.array(keys, arrow_key), pa.array(part, pa.int32()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string()), at],
+                ["k", "part", "parts", "size", "t", "at"],
             )
 
-    pieces = src.mapInArrow(cut, f"k {key_type}, part int, parts int, size int, t string").withColumn(
-        "shard", F.pmod(F.xxhash64("k", F.length("t"), "part"), F.lit(shards)).cast("int")
-    )
+    pieces = src.mapInArrow(cut, f"k {key_type}, part int, parts int, size int, t string, at bigint").withColumn(
+        "shard", F.pmod(F.xxhash64("k", "at"), F.lit(shards)).cast("int")
+    ).drop("at")
     item_type = pa.struct([(key, arrow_key), ("part", pa.int32()), ("parts", pa.int32()), ("n_tokens", pa.int32()), ("text", pa.string())])
 
     def pack(table: pa.Table) -> pa.Table:

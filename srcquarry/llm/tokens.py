@@ -8,40 +8,44 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vocabulary file (byte-level BPE ranks); a parameter of every operator, never copied into the repository.
 DEFAULT_VOCABULARY = os.environ.get("SRCQUARRY_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Text of one encoding call; longer texts are cut at line ends or spaces, where the pattern starts new words anyway.
+#: Texts longer than this are encoded span by span.
 MAX_CALL = 20_000
-_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# Fixed value: the published word pattern of this kind of vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Places where the pattern starts a new word whatever stands around them, the last one first: white space behind
+#: other text, and changes between letters, digits and other signs, but not behind other signs (contractions).
+_START = regex.compile(r"(?r)(?<=\S)(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])")
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
+def tokenizer(path: str, pattern: str = PATTERN):
     """The encoding of a vocabulary file, built once per worker."""
     import tiktoken
 
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pattern = _PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def spans(text: str) -> Iterator[str]:
-    """The text in spans of bounded length, cut before a space or line break where there is one."""
-    at, n = 0, len(text)
-    while n - at > MAX_CALL:
-        cut = max(text.rfind("\n", at + MAX_CALL // 2, at + MAX_CALL), text.rfind(" ", at + MAX_CALL // 2, at + MAX_CALL))
-        cut = cut if cut > at else at + MAX_CALL
-        yield text[at:cut]
-        at = cut
+    """The text in spans that have together the tokens of the whole: each starts where the pattern starts a word.
+
+    Spans have about MAX_CALL characters; a longer word is one span.
+    """
+    at, n, look = 0, len(text), MAX_CALL
+    while n - at > look:
+        m = _START.search(text, at + 1, at + look)
+        if m is None or m.start() <= at:
+            look *= 2
+            continue
+        yield text[at : m.start()]
+        at, look = m.start(), MAX_CALL
     if at < n:
         yield text[at:]
 

@@ -56,3 +56,26 @@ def test_operator_round_trip(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "id long, text string"), key="id", text="text", capacity=10).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "don't we'll " * 4000, "a  \n  b\t\t c " * 4000, "x" * 50_000, "abc123" * 9000, "中文，" * 9000, "中" * 30_000, " " * 45_000 + "a", "\u2003a\u00a0 b\x1c c" * 6000, "it's5'5's''s" * 5000,
+        "!?'re-" * 8000, "".join(random.Random(5).choice(["a", "1", " ", "\n", "'", "s", "é", "²", "\u3000", "-", "中"]) for _ in range(60_000)),
+    ],
+)
+def test_spans_have_the_tokens_of_the_whole(text):
+    from srcquarry.llm.tokens import spans, tokenizer
+
+    encode = tokenizer(DEFAULT_VOCABULARY).encode_ordinary
+    parts = list(spans(text))
+    assert "".join(parts) == text and [t for p in parts for t in encode(p)] == encode(text)
+
+
+def test_repeated_rows_and_other_keys(spark):
+    got = pack_documents(spark.createDataFrame([(7, "same text")] * 400, "id short, text string"), key="id", text="text", capacity=16, shard_items=50)
+    shards = got.selectExpr("split(container_id, '-')[0] as s", "n_items").groupBy("s").sum("n_items").collect()
+    assert len(shards) == 8 and max(r[1] for r in shards) < 120 and sum(r[1] for r in shards) == 400 and got.first()["items"][0].id == 7
+    dates = spark.sql("select date'2020-01-01' as id, 'x' as text union all select null, 'y'")
+    assert sorted(str(i.id) for b in pack_documents(dates, key="id", text="text", capacity=9).collect() for i in b["items"]) == ["2020-01-01", "None"]
