@@ -3,8 +3,9 @@
 For each language, a document d of level t and a word w of difficulty b are linked as in a Rasch model with
 rated items: the chance that a running word of the document is w is in proportion to p(w) * exp(t * b). Levels
 and difficulties are estimated in turn. A pass over the documents finds every level given the difficulties and
-sums what the difficulties need; the sums are as many as words are told apart, not as documents. Words are
-told apart by a hash into a fixed number of items, so the model has a fixed size and can be sent to all tasks.
+sums what the difficulties need. Documents stand in blocks, each with a list of its words; a pass joins the
+difficulties to these lists and gives out one sum for each of their words, so that what is shuffled follows the
+number of words in blocks, not of occurrences. Difficulties are a table of any size, and words are told apart exactly.
 
 Grades of some documents, where there are any, start the alternation and pull their documents' levels while
 the model is fitted, so that the latent scale is one of difficulty. The levels given out come from the text alone.
@@ -13,22 +14,27 @@ the model is fitted, so that the latent scale is one of difficulty. The levels g
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..tables import cut
 
-#: Items per language: the size of the model, whatever the size of the corpus.
-ITEMS = 1 << 15
+#: Documents in one block, at most.
+BLOCK_DOCS = 2_000
 GRID = np.linspace(-4.0, 4.0, 81)
-ROUNDS = 6
+#: The alternation ends when a running word's difficulty moves by less than this on average, or after so many rounds.
+MOVED = 0.03
+ROUNDS = 12
+#: Graded documents from which a language starts from its grades.
+LEAST_GRADES = 5
 #: Prior precision of a level, of a difficulty (in words), and weight of a document's grade (in words).
 LEVEL_PRIOR = 1.0
 WORD_PRIOR = 20.0
@@ -65,242 +71,270 @@ def words(text: str) -> tuple[str, list[str]]:
 
 
 def word_vectors(documents: DataFrame, *, key: str, text: str) -> DataFrame:
-    """Per row: key, ``lang_used``, ``n_words``, ``items``, ``counts``, ``lengths`` (mean word length of an item)."""
+    """Per row: key, ``lang_used``, ``n_words``, ``words`` (different ones) and ``counts``."""
     src = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
     key_type = src.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
         for b in batches:
-            langs, totals, items, counts, lengths = [], [], [], [], []
+            langs, totals, names, counts = [], [], [], []
             for t in b.column(1).to_pylist():
                 lang, ws = words(t) if t else ("other", [])
-                own: dict[int, int] = {}
-                size: dict[int, int] = {}
-                for w, c in Counter(ws).items():
-                    i = seen.get(w)
-                    if i is None:
-                        i = zlib.crc32(w.encode("utf-8", "surrogatepass")) % ITEMS
-                        if len(seen) < 200_000:
-                            seen[w] = i
-                    own[i] = own.get(i, 0) + c
-                    size[i] = len(w)
+                own = Counter(ws)
                 langs.append(lang)
                 totals.append(len(ws))
-                items.append(list(own))
+                names.append(list(own))
                 counts.append(list(own.values()))
-                lengths.append([size[i] for i in own])
-            i32 = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(langs, pa.string()), pa.array(totals, pa.int32()), pa.array(items, i32), pa.array(counts, i32), pa.array(lengths, i32)],
-                ["k", "lang_used", "n_words", "items", "counts", "lengths"],
+                [b.column(0), pa.array(langs, pa.string()), pa.array(totals, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
+                ["k", "lang_used", "n_words", "words", "counts"],
             )
 
-    out = src.mapInArrow(run, f"k {key_type}, lang_used string, n_words int, items array<int>, counts array<int>, lengths array<int>")
+    out = src.mapInArrow(run, f"k {key_type}, lang_used string, n_words int, words array<string>, counts array<int>")
     return out.withColumnRenamed("k", key)
 
 
-class Model:
-    """Difficulties and base rates of the items of each language, and the tables that levels are read from."""
-
-    def __init__(self) -> None:
-        self.b = {lang: np.zeros(ITEMS) for lang in LANGUAGES}
-        self.p = {lang: np.full(ITEMS, 1.0 / ITEMS) for lang in LANGUAGES}
-        self.slope: dict[str, np.ndarray] = {}
-        self.curve: dict[str, np.ndarray] = {}
-        self.tabulate()
-
-    def tabulate(self) -> None:
-        """Mean and variance of the difficulty of a running word, and the normaliser, for levels on the grid."""
-        self.norm = {}
-        for lang in LANGUAGES:
-            b, p = self.b[lang], self.p[lang]
-            used = p > 1e-12
-            b, p = b[used], p[used]
-            e = np.exp(np.clip(np.outer(GRID, b), -30, 30)) * p
-            z = e.sum(1)
-            m = (e @ b) / z
-            self.norm[lang] = np.log(z)
-            self.slope[lang] = m
-            self.curve[lang] = np.maximum((e @ (b * b)) / z - m * m, 1e-6)
-
-    def levels(self, lang: str, n: np.ndarray, mean_b: np.ndarray, weight: np.ndarray, grade: np.ndarray) -> np.ndarray:
-        """The level of each document: the root of a monotone equation, found by interpolation on the grid."""
-        want = n * mean_b + weight * grade
-        have = n[:, None] * self.slope[lang][None, :] + (LEVEL_PRIOR + weight)[:, None] * GRID[None, :]
-        k = np.clip((have < want[:, None]).sum(1), 1, len(GRID) - 1)
-        rows = np.arange(len(n))
-        lo, hi = have[rows, k - 1], have[rows, k]
-        return np.clip(GRID[k - 1] + (want - lo) / np.maximum(hi - lo, 1e-9) * (GRID[k] - GRID[k - 1]), GRID[0], GRID[-1])
-
-
-def _arrays(b: pa.RecordBatch, names: list[str]):
-    cols = {f: b.column(i) for i, f in enumerate(b.schema.names)}
-    lists = cols["items"]
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    lens = np.diff(offsets)
-    row = np.repeat(np.arange(len(lens)), lens)
-    flat = [cols[f].flatten().to_numpy(zero_copy_only=False) for f in names]
-    return cols, row, flat
-
-
-def _sums(vectors: DataFrame, model: Model | None) -> dict[tuple[str, str], np.ndarray]:
-    """Totals over all documents: (language, kind) -> values by index. Their number is bounded by the model's size."""
+_BLOCK = "block string, lang string, words array<string>, ends array<int>, item array<int>, count array<int>, n array<int>, grade array<double>"
+
+
+def word_blocks(vectors: DataFrame, *, key: str) -> DataFrame:
+    """Documents of one language and task, at most BLOCK_DOCS, as one row: its different words, and a sparse matrix of counts.
+
+    ``ends`` are the ends of the documents in ``item`` (places in ``words``) and ``count``; ``keys`` has their keys.
+    A word is stored once in a block, so all that a pass has to fetch or give out is a row for each word of a block.
+    """
+    key_type = vectors.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], np.ndarray] = {}
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            langs = t.column("lang_used").to_numpy()
+            for lang in sorted(set(langs)):
+                own = t.filter(pa.array(langs == lang))
+                for at in range(0, own.num_rows, BLOCK_DOCS):
+                    part = own.slice(at, BLOCK_DOCS).combine_chunks()
+                    column = lambda c: part.column(c).combine_chunks()
+                    names, counts = column("words"), column("counts")
+                    coded = names.flatten().dictionary_encode()
+                    ends = (names.offsets.to_numpy() - names.offsets[0].as_py())[1:]
+                    one = lambda v, kind: pa.array([v], pa.list_(kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([f"{task}-{made}"]), pa.array([lang]), one(coded.dictionary.to_pylist(), pa.string()), one(ends, pa.int32()), one(coded.indices.to_numpy(), pa.int32()),
+                            one(counts.flatten().to_numpy(), pa.int32()), one(column("n_words").to_numpy(), pa.int32()), one(column("grade").to_pylist(), pa.float64()), one(column(key).to_pylist(), to_arrow_type(key_type)),
+                        ],
+                        ["block", "lang", "words", "ends", "item", "count", "n", "grade", "keys"],
+                    )
+                    made += 1
+
+    src = vectors.select(key, "lang_used", "n_words", "words", "counts", "grade")
+    return src.mapInArrow(run, f"{_BLOCK}, keys array<{key_type.simpleString()}>")
+
+
+class Curves(NamedTuple):
+    """What a language's words say about all levels of the grid: a few numbers, however many words there are."""
+
+    norm: np.ndarray
+    slope: np.ndarray
+
+
+#: For documents of a language in which no text has words.
+NO_WORDS = Curves(np.zeros(len(GRID)), np.zeros(len(GRID)))
+
+
+def levels(curves: Curves, n: np.ndarray, mean_b: np.ndarray, weight: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """The level of each document: the root of a monotone equation, found by interpolation on the grid."""
+    want = n * mean_b + weight * grade
+    have = n[:, None] * curves.slope[None, :] + (LEVEL_PRIOR + weight)[:, None] * GRID[None, :]
+    k = np.clip((have < want[:, None]).sum(1), 1, len(GRID) - 1)
+    rows = np.arange(len(n))
+    lo, hi = have[rows, k - 1], have[rows, k]
+    return np.clip(GRID[k - 1] + (want - lo) / np.maximum(hi - lo, 1e-9) * (GRID[k] - GRID[k - 1]), GRID[0], GRID[-1])
+
+
+def _matrix(row: dict):
+    """Words' number, documents' number, item, count and row of each entry, words and grade of each document."""
+    ends = np.asarray(row["ends"], dtype=np.int64)
+    item, count = np.asarray(row["item"], dtype=np.int64), np.asarray(row["count"], dtype=float)
+    n = np.asarray(row["n"], dtype=float)
+    grade = np.asarray([np.nan if g is None else g for g in row["grade"]], dtype=float)
+    return item, count, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), n, grade
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {f: (b.column(f)[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(b.schema.field(f).type) else b.column(f)[i].as_py()) for f in b.schema.names}
+
+
+def _grown(blocks: DataFrame, words_: DataFrame, difficulties: DataFrame) -> DataFrame:
+    """The blocks with ``b``, the difficulties of their words in their order: joined by word, gathered by block."""
+    known = words_.join(difficulties.select("lang", "word", "b"), ["lang", "word"])
+    gathered = known.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("b"))
+    return blocks.join(gathered, "block", "left").withColumn("b", F.coalesce("b", F.expr("cast(array() as array<double>)")))
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    """Per language and word: occurrences ``n``, those in graded documents ``gn`` and their grades' sum ``gs``."""
 
-        def add(lang, kind, index, value, size):
-            if (lang, kind) not in total:
-                total[lang, kind] = np.zeros(size)
-            total[lang, kind] += np.bincount(index, weights=value, minlength=size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            item, count, row, _, grade = _matrix(r)
+            g, size = ~np.isnan(grade)[row], len(r["words"])
+            sums = [np.bincount(item, count, size), np.bincount(item[g], count[g], size), np.bincount(item[g], count[g] * grade[row[g]], size)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * size, pa.string()), pa.array(r["words"], pa.string()), *[pa.array(x.astype(float)) for x in sums]], ["lang", "word", "n", "gn", "gs"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols, row, (item, count, length) = _arrays(b, ["items", "counts", "lengths"])
-            lang = np.asarray(cols["lang_used"].to_pylist(), dtype=object)
-            n = cols["n_words"].to_numpy(zero_copy_only=False).astype(float)
-            grade = np.asarray([np.nan if g is None else g for g in cols["grade"].to_pylist()], dtype=float)
+    rows = blocks.select("lang", "words", "ends", "item", "count", "n", "grade").mapInArrow(run, "lang string, word string, n double, gn double, gs double")
+    return rows.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("n", "gn", "gs")])
+
+
+def _level_sums(grown: DataFrame, curves: dict[str, Curves]) -> DataFrame:
+    """Sums over all documents at their levels: per word the occurrences times the level, per language (``word`` null) the words at each place ``i`` of the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            item, count, row, n, grade = _matrix(r)
             has = ~np.isnan(grade)
-            for name in set(lang):
-                own = lang == name
-                inside = own[row]
-                it, ct, rw = item[inside], count[inside].astype(float), row[inside]
-                if model is None:
-                    add(name, "n", it, ct, ITEMS)
-                    add(name, "len", it, ct * length[inside], ITEMS)
-                    g = has[rw]
-                    add(name, "gn", it[g], ct[g], ITEMS)
-                    add(name, "gs", it[g], ct[g] * grade[rw[g]], ITEMS)
-                    o = own & has
-                    add(name, "grades", np.zeros(o.sum(), dtype=np.int64), np.ones(o.sum()), 3)
-                    add(name, "grades", np.ones(o.sum(), dtype=np.int64), grade[o], 3)
-                    add(name, "grades", np.full(o.sum(), 2), grade[o] ** 2, 3)
-                    continue
-                mean_b = np.bincount(rw, weights=ct * model.b[name][it], minlength=len(n)) / np.maximum(n, 1.0)
-                weight = np.where(has, GRADE_WEIGHT, 0.0)
-                t = np.zeros(len(n))
-                t[own] = model.levels(name, n[own], mean_b[own], weight[own], np.where(has, grade, 0.0)[own])
-                add(name, "s", it, ct * t[rw], ITEMS)
-                place = np.clip(np.rint((t[own] - GRID[0]) / (GRID[1] - GRID[0])), 0, len(GRID) - 1).astype(np.int64)
-                add(name, "hist", place, n[own], len(GRID))
-        langs, kinds, index, values = [], [], [], []
-        for (name, kind), v in total.items():
-            nz = np.flatnonzero(v)
-            langs += [name] * len(nz)
-            kinds += [kind] * len(nz)
-            index.append(nz)
-            values.append(v[nz])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(langs, pa.string()),
-                pa.array(kinds, pa.string()),
-                pa.array(np.concatenate(index) if index else [], pa.int32()),
-                pa.array(np.concatenate(values) if values else [], pa.float64()),
-            ],
-            ["lang", "kind", "i", "v"],
-        )
-
-    # One partial sum per task, and few tasks: what is shuffled is bounded by the model's size times the cores.
-    few = vectors.coalesce(2 * vectors.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInArrow(run, "lang string, kind string, i int, v double").groupBy("lang", "kind", "i").agg(F.sum("v").alias("v")).toArrow()
-    found: dict[tuple[str, str], np.ndarray] = {}
-    index, value = sums.column("i").to_numpy(), sums.column("v").to_numpy()
-    name = pc.binary_join_element_wise(sums.column("lang"), sums.column("kind"), " ").combine_chunks().dictionary_encode() if sums.num_rows else None
-    if name is not None:
-        codes = name.indices.to_numpy()
-        for k, both in enumerate(name.dictionary.to_pylist()):
-            lang, kind = both.split(" ")
-            own = codes == k
-            size = {"hist": len(GRID), "grades": 3}.get(kind, ITEMS)
-            found[lang, kind] = np.zeros(size)
-            found[lang, kind][index[own]] = value[own]
-    return found
-
-
-def _dense(v: np.ndarray | None, size: int) -> np.ndarray:
-    return np.zeros(size) if v is None else v
-
-
-def fit(vectors: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Difficulties by alternating optimisation; ``vectors`` has a standardised ``grade`` (null where unknown).
-
-    A language without grades starts from word lengths, scaled like the pooled grades' effect, and is left to
-    the likelihood from there.
-    """
-    model = Model()
-    first = _sums(vectors, None)
-    count: dict[str, np.ndarray] = {}
-    for lang in LANGUAGES:
-        n = count[lang] = _dense(first.get((lang, "n")), ITEMS)
-        if not n.sum():
-            continue
-        model.p[lang] = n / n.sum()
-        gn, gs = _dense(first.get((lang, "gn")), ITEMS), _dense(first.get((lang, "gs")), ITEMS)
-        if _dense(first.get((lang, "grades")), 3)[0] >= 5:
-            mean = gs.sum() / max(gn.sum(), 1.0)
-            model.b[lang] = (gs - mean * gn) / (gn + WORD_PRIOR)
-        else:
-            length = _dense(first.get((lang, "len")), ITEMS) / np.maximum(n, 1.0)
-            m = (length * n).sum() / n.sum()
-            sd = np.sqrt(((length - m) ** 2 * n).sum() / n.sum()) or 1.0
-            model.b[lang] = np.where(n > 0, (length - m) / sd * 0.5, 0.0)
-    model.tabulate()
-    for _ in range(rounds):
-        sums = _sums(vectors, model)
-        for lang in LANGUAGES:
-            n = count[lang]
-            if not n.sum():
-                continue
-            hist, s = _dense(sums.get((lang, "hist")), len(GRID)), _dense(sums.get((lang, "s")), ITEMS)
+            mean_b = np.bincount(row, count * r["b"][item], len(n)) / np.maximum(n, 1.0)
+            t = levels(curves.get(r["lang"], NO_WORDS), n, mean_b, np.where(has, GRADE_WEIGHT, 0.0), np.where(has, grade, 0.0))
+            exact = (t - GRID[0]) / (GRID[1] - GRID[0])
+            place = np.clip(exact.astype(np.int64), 0, len(GRID) - 2)
+            hist = np.bincount(place, n * (place + 1 - exact), len(GRID)) + np.bincount(place + 1, n * (exact - place), len(GRID))
+            size = len(r["words"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r["lang"]] * (size + len(GRID)), pa.string()),
+                    pa.array([*r["words"], *[None] * len(GRID)], pa.string()),
+                    pa.array([-1] * size + list(range(len(GRID))), pa.int32()),
+                    pa.array(np.concatenate([np.bincount(item, count * t[row], size), hist]).astype(float)),
+                ],
+                ["lang", "word", "i", "s"],
+            )
+
+    out = grown.select("lang", "words", "ends", "item", "count", "n", "grade", "b").mapInArrow(run, "lang string, word string, i int, s double")
+    return out.groupBy("lang", "word", "i").agg(F.sum("s").alias("s"))
+
+
+def _curves(difficulties: DataFrame) -> tuple[dict[str, Curves], float]:
+    """Normaliser and mean difficulty of a running word along the grid, per language, and how far the words moved: sums over all words, a few numbers for each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
+            b, p, n, moved = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "p", "n", "moved"))
+            for lang in sorted(set(langs)):
+                own = langs == lang
+                e = np.exp(np.clip(np.outer(GRID, b[own]), -30, 30)) * p[own]
+                values = np.concatenate([e.sum(1), e @ b[own], [p[own].sum(), n[own].sum(), (n * moved)[own].sum()]])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["lang", "i", "v"])
+
+    rows = difficulties.select("lang", "b", "p", "n", "moved").mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    k = len(GRID)
+    table: dict[str, np.ndarray] = {}
+    for r in rows:
+        table.setdefault(r["lang"], np.zeros(2 * k + 3))[r["i"]] = r["v"]
+    total = sum(v[2 * k + 1] for v in table.values())
+    found = {lang: Curves(np.log(v[:k] / v[2 * k]), v[k : 2 * k] / v[:k]) for lang, v in table.items()}
+    return found, sum(v[2 * k + 2] for v in table.values()) / total if total else 0.0
+
+
+_WORDS = "lang string, word string, n double, b double, p double, moved double"
+
+
+def _first(counts: DataFrame, graded: dict[str, int]) -> DataFrame:
+    """Difficulties to start from: the mean grade around a word, or its length in languages without grades."""
+    sums = counts.groupBy("lang").agg(
+        F.sum("n").alias("ln"), F.sum("gn").alias("lgn"), F.sum("gs").alias("lgs"), (F.sum(F.col("n") * F.char_length("word")) / F.sum("n")).alias("lm"),
+        F.sum(F.col("n") * F.char_length("word") * F.char_length("word")).alias("lq"),
+    )
+    rows = counts.join(F.broadcast(sums), "lang")  # one row for each of the six languages
+    mean = F.col("lgs") / F.greatest("lgn", F.lit(1.0))
+    by_grade = (F.col("gs") - mean * F.col("gn")) / (F.col("gn") + WORD_PRIOR)
+    spread = F.sqrt(F.greatest(F.col("lq") / F.col("ln") - F.col("lm") * F.col("lm"), F.lit(0.0)))
+    by_length = (F.char_length("word") - F.col("lm")) / F.when(spread > 0, spread).otherwise(1.0) * 0.5
+    known = [lang for lang, k in graded.items() if k >= LEAST_GRADES]
+    return rows.select("lang", "word", "n", F.when(F.col("lang").isin(known), by_grade).otherwise(by_length).alias("b"), (F.col("n") / F.col("ln")).alias("p"), F.lit(0.0).alias("moved"))
+
+
+def _newton(difficulties: DataFrame, sums: DataFrame, curves: dict[str, Curves]) -> DataFrame:
+    """New difficulties given all levels: each word's own one-dimensional optimum."""
+    table: dict[str, np.ndarray] = {}
+    for r in sums.where(F.col("word").isNull()).collect():  # the grid of each language
+        table.setdefault(r["lang"], np.zeros(len(GRID)))[r["i"]] = r["s"]
+    scale = {}
+    for lang, hist in table.items():
+        if hist.sum() > 0:
             centre = (hist * GRID).sum() / hist.sum()
-            spread = np.sqrt((hist * (GRID - centre) ** 2).sum() / hist.sum()) or 1.0
-            grid = (GRID - centre) / spread
-            s = (s - centre * n) / spread
-            b = model.b[lang] * spread
-            base = hist * np.exp(-model.norm[lang])
-            used = n > 0
-            bw, nw, sw = b[used], n[used], s[used]
-            for _ in range(8):  # Newton steps for all words of the language at once
+            scale[lang] = (centre, np.sqrt((hist * (GRID - centre) ** 2).sum() / hist.sum()) or 1.0, hist * np.exp(-curves.get(lang, NO_WORDS).norm))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
+            n, b, s = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("n", "b", "s"))
+            p, moved = np.zeros(len(n)), np.zeros(len(n))
+            for lang in sorted(set(langs)):
+                own = langs == lang
+                centre, spread, base = scale[lang]
+                grid = (GRID - centre) / spread
+                bw, nw, sw = b[own] * spread, n[own], (s[own] - centre * n[own]) / spread
+                for _ in range(8):  # Newton steps for all words of the batch at once
+                    e = np.exp(np.clip(np.outer(bw, grid), -20, 20)) * base
+                    z = e.sum(1)
+                    m1 = (e @ grid) / z
+                    m2 = (e @ (grid * grid)) / z - m1 * m1
+                    bw = bw + np.clip((sw - nw * m1 - WORD_PRIOR * bw) / (nw * np.maximum(m2, 1e-3) + WORD_PRIOR), -1, 1)
                 e = np.exp(np.clip(np.outer(bw, grid), -20, 20)) * base
-                z = e.sum(1)
-                m1 = (e @ grid) / z
-                m2 = (e @ (grid * grid)) / z - m1 * m1
-                bw = bw + np.clip((sw - nw * m1 - WORD_PRIOR * bw) / (nw * np.maximum(m2, 1e-3) + WORD_PRIOR), -1, 1)
-            e = np.exp(np.clip(np.outer(bw, grid), -20, 20)) * base
-            p = nw / np.maximum(e.sum(1), 1e-12)
-            model.b[lang] = np.zeros(ITEMS)
-            model.b[lang][used] = np.clip(bw, -6, 6)
-            model.p[lang] = np.zeros(ITEMS)
-            model.p[lang][used] = p / p.sum()
-        model.tabulate()
-    return model
-
-
-def score(vectors: DataFrame, model: Model, *, key: str) -> DataFrame:
+                p[own] = nw / np.maximum(e.sum(1), 1e-12)
+                bw = np.clip(bw, -6, 6)
+                moved[own] = np.abs(bw - b[own])
+                b[own] = bw
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), *map(pa.array, (n, b, p, moved))], ["lang", "word", "n", "b", "p", "moved"])
+
+    return difficulties.join(sums.where(F.col("word").isNotNull()).select("lang", "word", "s"), ["lang", "word"]).select("lang", "word", "n", "b", "s").mapInArrow(run, _WORDS)
+
+
+def fit(blocks: DataFrame, graded: dict[str, int], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, dict[str, Curves]]:
+    """Words of blocks, difficulties (``lang``, ``word``, ``b``) and curves, by alternating optimisation.
+
+    ``blocks`` has standardised grades (null where unknown), ``graded`` their number per language. A round finds all
+    levels given the difficulties, then all difficulties given the levels; both are tables that Spark joins, however
+    many words there are, and the driver holds a grid for each language. It ends when a running word's difficulty
+    moves by less than MOVED on average, or after ``rounds``.
+    """
+    words_ = cut(blocks.select("block", "lang", F.posexplode("words").alias("at", "word")))
+    difficulties = cut(_first(_counts(blocks), graded))
+    curves, _ = _curves(difficulties)
+    for _ in range(rounds):
+        sums = cut(_level_sums(_grown(blocks, words_, difficulties), curves))
+        difficulties = cut(_newton(difficulties, sums, curves))
+        curves, moved = _curves(difficulties)
+        if moved < MOVED:
+            break
+    return words_, difficulties, curves
+
+
+def score(blocks: DataFrame, words_: DataFrame, difficulties: DataFrame, curves: dict[str, Curves], *, key: str) -> DataFrame:
     """key, ``lang_used``, ``n_words``, ``theta`` and ``grade`` of all documents, by their text alone."""
-    key_type = vectors.schema[key].dataType.simpleString()
+    element = blocks.schema["keys"].dataType.elementType
+    arrow_key, key_type = to_arrow_type(element), element.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols, row, (item, count) = _arrays(b, ["items", "counts"])
-            lang = np.asarray(cols["lang_used"].to_pylist(), dtype=object)
-            n = cols["n_words"].to_numpy(zero_copy_only=False).astype(float)
-            t = np.zeros(len(n))
-            for name in set(lang):
-                own = lang == name
-                inside = own[row]
-                mean_b = np.bincount(row[inside], weights=count[inside] * model.b[name][item[inside]], minlength=len(n)) / np.maximum(n, 1.0)
-                zero = np.zeros(own.sum())
-                t[own] = model.levels(name, n[own], mean_b[own], zero, zero)
-            yield pa.RecordBatch.from_arrays([cols[key], cols["lang_used"], cols["n_words"], pa.array(t), cols["grade"]], [key, "lang_used", "n_words", "theta", "grade"])
-
-    return vectors.select(key, "lang_used", "n_words", "items", "counts", "grade").mapInArrow(
-        run, f"`{key}` {key_type}, lang_used string, n_words int, theta double, grade double"
-    )
+            keys = b.column("keys")
+            for i, r in enumerate(_rows([b.drop_columns(["keys"])])):
+                item, count, row, n, grade = _matrix(r)
+                mean_b = np.bincount(row, count * r["b"][item], len(n)) / np.maximum(n, 1.0)
+                zero = np.zeros(len(n))
+                t = levels(curves.get(r["lang"], NO_WORDS), n, mean_b, zero, zero)
+                yield pa.RecordBatch.from_arrays(
+                    [keys[i].values.cast(arrow_key), pa.array([r["lang"]] * len(n), pa.string()), pa.array(n.astype(np.int32)), pa.array(t), pa.array(grade, pa.float64(), from_pandas=True)],
+                    ["k", "lang_used", "n_words", "theta", "grade"],
+                )
+
+    grown = _grown(blocks, words_, difficulties)
+    out = grown.mapInArrow(run, f"k {key_type}, lang_used string, n_words int, theta double, grade double")
+    return out.select(F.col("k").alias(key), "lang_used", "n_words", "theta", "grade")
 
 
 def grades_of(labels: DataFrame, *, key: str) -> DataFrame:
@@ -323,9 +357,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, key: str, text: s
     mean, spread = overall["m"] if overall["m"] is not None else 3.0, overall["s"] or 1.0
     known = grades.select(F.col(key).alias("__id"), ((F.col("raw_grade") - mean) / spread).alias("grade"))
     vectors = word_vectors(documents, key=key, text=text)
-    vectors = cut(vectors.join(known, F.col(key) == F.col("__id"), "left").drop("__id"))
-    model = fit(vectors, rounds)
-    scored = score(vectors, model, key=key)
+    blocks = cut(word_blocks(vectors.join(known, F.col(key) == F.col("__id"), "left").drop("__id"), key=key))
+    graded = {r["lang"]: r["k"] for r in blocks.groupBy("lang").agg(F.sum(F.size(F.filter("grade", F.isnotnull))).alias("k")).collect()}
+    scored = score(blocks, *fit(blocks, graded, rounds), key=key)
     parts = scored.where(F.col("grade").isNotNull() & (F.col("n_words") > 0)).groupBy("lang_used").agg(
         F.count("*").alias("n"), F.sum("theta").alias("x"), F.sum("grade").alias("y"), F.sum(F.col("theta") * F.col("grade")).alias("xy"), F.sum(F.col("theta") * F.col("theta")).alias("xx")
     ).collect()

@@ -3,7 +3,7 @@
 import random
 from datetime import datetime
 
-from srcquarry.llm.reading import reading_levels, words
+from srcquarry.llm.reading import _counts, _curves, _first, reading_levels, word_blocks, word_vectors, words
 
 EASY = ["the cat is on the mat", "we see it and run", "it is a red box", "you can go to the shop and be back"]
 HARD = [
@@ -67,3 +67,34 @@ def test_words():
     assert words("El servicio copia cada bloque y la página no es del registro")[0] == "es"
     assert words("foo bar baz")[0] == "other"
     assert words("a `code` https://x.y/z <b>the end is near</b> &amp;")[1] == ["a", "the", "end", "is", "near"]
+
+
+def test_blocks_hold_the_counts_of_every_word(spark, monkeypatch):
+    monkeypatch.setattr("srcquarry.llm.reading.BLOCK_DOCS", 7)
+    docs = [(i, x) for i, x, _ in corpus(60)] + [(900, None), (901, "的服务器先写日志再写数据")] + [(902, "w" + "x" * i) for i in range(50)]
+    vectors = word_vectors(spark.createDataFrame(docs, "id long, text string"), key="id", text="text").selectExpr("*", "if(id % 2 = 0, 1.0D, null) as grade")
+    blocks = word_blocks(vectors, key="id").cache()
+    assert sorted(k for r in blocks.collect() for k in r["keys"]) == sorted(i for i, _ in docs) and blocks.count() > 8
+    got = {(r.lang, r.word): (r.n, r.gn) for r in _counts(blocks).collect()}
+    want = {}
+    for i, t in docs:
+        lang, ws = words(t) if t else ("other", [])
+        for w in ws:
+            a, b = want.get((lang, w), (0, 0))
+            want[lang, w] = (a + 1, b + (i % 2 == 0))
+    assert got == want  # words are told apart exactly
+    first = _first(_counts(blocks), {"en": 30})
+    curves, moved = _curves(first)
+    assert moved == 0 and set(curves) == {k for k, _ in want} and all(abs(c.norm[40]) < 1e-9 for c in curves.values())
+    blocks.unpersist()
+
+
+def test_rounds_end_by_themselves(spark, monkeypatch):
+    calls = []
+    from srcquarry.llm import reading
+
+    own = reading._newton
+    monkeypatch.setattr(reading, "_newton", lambda *a: (calls.append(1), own(*a))[1])
+    d = spark.createDataFrame([(i, t) for i, t, _ in corpus(200)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "x", g) for i, _, g in corpus(200) if i % 2], "doc_id long, rater string, grade int")
+    assert reading_levels(d, lab, key="doc_id", text="text", rounds=40).count() == 200 and 2 <= len(calls) < 40
