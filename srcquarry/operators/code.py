@@ -39,6 +39,10 @@ _CPP_KIND = (
 )
 
 
+#: Lines as the parser counts them: no other sign than these ends one.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
 def _python(text: str) -> list[Node]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -46,7 +50,9 @@ def _python(text: str) -> list[Node]:
             tree = ast.parse(text)
         except (SyntaxError, ValueError) as e:
             raise ValueError(f"syntax error: {e}") from None
-    lines = text.splitlines(keepends=True)
+        except (RecursionError, MemoryError):
+            raise ValueError("syntax error: too deeply nested") from None
+    lines = _LINE.findall(text)
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line))
@@ -197,9 +203,11 @@ def chunks_of(text: str, language: str) -> list[tuple]:
 def parse_files(files: DataFrame, *, keep: list[str], text: str, language: str, on_error: str = "raise") -> DataFrame:
     """Chunks of Python, Go and C++ files: ``keep``, ``chunk_ordinal``, ``type``, ``name``, ``signature``, ``body``, ``doc``, ``start_line``, ``end_line``.
 
-    A file that does not parse fails the job, or with ``on_error='skip'`` gives no chunks. Blank and null texts and
-    other languages give none.
+    A file that does not parse fails the job, or with ``on_error='report'`` gives one chunk of type 'syntax_error'
+    with the whole text, and what is wrong as its ``doc``. Blank and null texts and other languages give none.
     """
+    if on_error not in ("raise", "report"):
+        raise ValueError("on_error is 'raise' or 'report'")
     src = files.where(F.col(language).isin(*_PARSERS) & F.col(text).isNotNull()).select(*keep, F.col(language).alias("__lang"), F.col(text).alias("__text"))
     n = len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n])
@@ -212,10 +220,10 @@ def parse_files(files: DataFrame, *, keep: list[str], text: str, language: str,
             for i, (lang, body) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
                 try:
                     found = chunks_of(body, lang)
-                except ValueError:
+                except ValueError as e:
                     if on_error == "raise":
                         raise
-                    continue
+                    found = [("syntax_error", "", "", body, str(e), 1, max(1, len(_LINE.findall(body))))]
                 at += [i] * len(found)
                 rows += [(k, *c) for k, c in enumerate(found)]
             keys = [b.column(k).take(pa.array(at, pa.int64())) for k in range(n)]

@@ -304,10 +304,10 @@ def fenced_texts(spark, sf_dir):
 def _symbols(language: str):
     def run(spark, sf_dir):
         files = _files(spark, sf_dir).where(F.col("language") == language)
-        return parse_files(files, keep=["file_path", "repo_dir"], text="content", language="language", on_error="skip")
+        return parse_files(files, keep=["file_path", "repo_dir"], text="content", language="language", on_error="report")
 
     run.__name__ = f"{language}_symbols"
-    run.__doc__ = f"Chunks of all {language} files that parse: the text between symbols, then the symbols."
+    run.__doc__ = f"Chunks of all {language} files: the text between symbols, then the symbols; a file that does not parse is one chunk that says so."
     return run
 
 

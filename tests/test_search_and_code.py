@@ -59,3 +59,26 @@ def test_long_cpp_classes_are_split_into_members():
     got = [c for c in chunks_of("#include <x>\n" + body, "cpp") if c[0] != "other"]
     assert [c[1] for c in got] == [f"A::f{i}" for i in range(60)] + ["A::field_"]
     assert got[3][4] == "// doc 3" and got[3][5:] == (17, 19) and got[-1][0] == "member"
+
+
+@pytest.mark.parametrize("sign", ["\x0c", "\x0b", "\x85", "\u2028", "\x1c"])
+def test_signs_that_end_no_line_of_python(sign):
+    text = f"x = '{sign}'\n" if sign != "\x0c" else "\x0c\n"
+    got = [c for c in chunks_of(text + "# why\ndef a():\n    return 1\n\ndef b(): pass\n", "python") if c[0] != "other"]
+    assert [(c[1], c[3], c[4], c[5], c[6]) for c in got] == [("a", "def a():\n    return 1", "# why", 3, 4), ("b", "def b(): pass", "", 6, 6)]
+
+
+def test_carriage_returns_end_lines_of_python():
+    got = [c for c in chunks_of("x = 1\r\ndef a():\r    return 1\rdef b(): pass\n", "python") if c[0] != "other"]
+    assert [c[3] for c in got] == ["def a():\r    return 1", "def b(): pass"]
+
+
+def test_files_that_do_not_parse_are_reported(spark):
+    from srcquarry.operators.code import parse_files
+
+    deep = "x = " + "(" * 5000 + ")" * 5000 + "\n"
+    files = spark.createDataFrame([("a", "python", "def f(\n"), ("b", "python", deep), ("c", "go", "func F() {"), ("d", "python", "def g(): pass\n"), ("e", "python", None)], "p string, language string, content string")
+    rows = {r.p: r for r in parse_files(files, keep=["p"], text="content", language="language", on_error="report").collect()}
+    assert {k: r.type for k, r in rows.items()} == {"a": "syntax_error", "b": "syntax_error", "c": "syntax_error", "d": "function"} and rows["b"].body == deep
+    with pytest.raises(Exception, match="syntax error"):
+        parse_files(files, keep=["p"], text="content", language="language").collect()

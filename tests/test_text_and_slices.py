@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcquarry.functions.text import is_blank, lines_keepends, strip
-from srcquarry.operators.packing import pack
+from srcquarry.operators.packing import pack_long
 from srcquarry.operators.slicing import char_slices, check_budget, prepare, token_slices, verified_slices
 from srcquarry.operators.windows import overlapping_windows, uncovered
 
@@ -77,12 +77,46 @@ def test_verified_slices_bounded_and_not_monotonic():
     assert verified_slices("", lambda s: 2, 2) == [(0, 0)]
 
 
-def test_pack_lines():
+def packed(spark, lines, first, limit, overlap):
+    df = spark.createDataFrame([("k", "".join(lines), first)], "k string, t string, l int")
+    rows = pack_long(df, keep=["k"], text="t", first_line="l", limit=limit, overlap=overlap).orderBy("part").collect()
+    return [(r.body, r.start_line, r.end_line) for r in rows]
+
+
+def by_hand(lines, first, limit, overlap):
+    """The rules of packing told line by line, over ranges of line numbers."""
+    size = lambda a, b: sum(map(len, lines[a:b]))
+    out, a = [], 0
+    for i, line in enumerate(lines):
+        if len(line) > limit:
+            out += [(a, i)] * (a < i) + [(i, i + 1)]
+            a = i + 1
+            continue
+        if a < i and size(a, i + 1) > limit:
+            out.append((a, i))
+            a = min(x for x in range(max(a, i - overlap), i + 1) if size(x, i + 1) <= limit)
+        if not line.strip() and size(a, i + 1) >= 0.8 * limit:
+            out.append((a, i + 1))
+            a = i + 1
+    if "".join(lines[a:]).strip():
+        out.append((a, len(lines)))
+    texts = [("".join(lines[a:b]), first + a, first + b - 1) for a, b in out]
+    return [(t[k : k + limit], x, y) for t, x, y in texts for k in range(0, len(t), limit)]
+
+
+def test_pack_against_the_rules(spark):
+    rng = random.Random(8)
+    for n in range(12):
+        lines = [rng.choice(["\n", "  \n", "a\n", "bb 🙂 cc\n", "d" * rng.randrange(40) + "\n", "e" * 70 + "\r\n"]) for _ in range(80)]
+        assert packed(spark, lines, 3, 60, n % 4) == by_hand(lines, 3, 60, n % 4)
+
+
+def test_pack_lines(spark):
     long = ["x" * 7000 + "\n", "tail"]
-    got = pack(long, 1, 3000, 2)
+    got = packed(spark, long, 1, 3000, 2)
     assert [len(t) for t, _, _ in got] == [3000, 3000, 1001, 4] and [x[1:] for x in got[:3]] == [(1, 1)] * 3
     lines = [f"line {i}\n" for i in range(1000)]
-    got = pack(lines, 5, 100, 2)
+    got = packed(spark, lines, 5, 100, 2)
     assert all(len(t) <= 100 for t, _, _ in got)
     for (t, a, b), (u, c, d) in zip(got, got[1:]):
         assert c == b - 1 and t.splitlines()[-2:] == u.splitlines()[:2]
