@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import content_hash, project_identity, row_id, within_size
 from ..functions.routing import LANGUAGES, WALK_SKIP, route_language, skipped
-from ..functions.text import is_blank, lines_keepends, newlines
+from ..functions.text import is_blank, lines_keepends, newlines, without_end
 from ..functions.tokenizers import bpe_counter
 from ..functions.vectors import similarity
 from ..operators.code import parse_files
@@ -192,19 +192,32 @@ def lines_of_chunks(spark, sf_dir):
     return chunks.select("chunk_id", F.size(lines_keepends(F.col("body"))).cast("bigint").alias("lines"), F.char_length("body").cast("bigint").alias("chars"), is_blank(F.col("body")).alias("blank"))
 
 
-@query()
+_LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
+@query(
+    f"""SELECT chunk_id, len(regexp_extract_all(body, '\\r\\n|[{_LINE_ENDS}]')) + CASE WHEN regexp_matches(body, '[^{_LINE_ENDS}]\\z') THEN 1 ELSE 0 END AS lines,
+    length(body) AS chars, NOT regexp_matches(body, '{_BLANK}') AS blank FROM {_C}"""
+)
 def lines_of_all_chunks(spark, sf_dir):
     """Lines and characters of every chunk, however its lines end."""
     body = F.col("body")
     return _chunks(spark, sf_dir).select("chunk_id", F.size(lines_keepends(body)).cast("bigint").alias("lines"), F.char_length(body).cast("bigint").alias("chars"), is_blank(body).alias("blank"))
 
 
-@query(f"SELECT count(*) AS files, sum(CASE WHEN joined THEN 1 ELSE 0 END) AS same FROM (SELECT true AS joined FROM {_F} WHERE content IS NOT NULL)")
+@query(
+    f"""SELECT file_path, sha256(content) AS digest, length(content) AS chars,
+    len(regexp_extract_all(content, '\\r\\n|[{_LINE_ENDS}]')) + CASE WHEN regexp_matches(content, '[^{_LINE_ENDS}]\\z') THEN 1 ELSE 0 END AS lines
+    FROM {_F} WHERE content IS NOT NULL"""
+)
 def lines_rejoin(spark, sf_dir):
-    """Joining the lines of every file gives the file."""
-    files = _files(spark, sf_dir).where("content is not null")
-    same = F.array_join(lines_keepends(F.col("content")), "") == F.col("content")
-    return files.agg(F.count("*").alias("files"), F.sum(same.cast("int")).alias("same"))
+    """Joining the lines of every file gives the file, and there are as many as line ends and rests."""
+    lines = lines_keepends(F.col("content"))
+    rejoined = F.array_join(lines, "")
+    return (
+        _files(spark, sf_dir).where("content is not null")
+        .select("file_path", F.sha2(rejoined, 256).alias("digest"), F.char_length(rejoined).cast("bigint").alias("chars"), F.size(lines).cast("bigint").alias("lines"))
+    )
 
 
 # --- Markdown -------------------------------------------------------------------------------------
@@ -263,8 +276,7 @@ def md_heading_path(spark, sf_dir):
     return heading_paths(found, key="file_path")
 
 
-@query(
-    f"""WITH {_HEADS}, {_PATHS},
+_SECTIONS = f"""WITH {_HEADS}, {_PATHS},
     w AS (SELECT file_path, u.i AS line_no, u.raw AS raw FROM (SELECT file_path, unnest(list_transform(range(1, len(string_split(content, chr(10))) + 1),
       lambda i: {{'i': i, 'raw': string_split(content, chr(10))[i] || CASE WHEN i < len(string_split(content, chr(10))) THEN chr(10) ELSE '' END}})) AS u
       FROM {_F} WHERE language = 'markdown' AND regexp_matches(content, '{_BLANK}')) WHERE u.raw <> ''),
@@ -272,13 +284,44 @@ def md_heading_path(spark, sf_dir):
     g AS (SELECT file_path, hl, max(line_no) AS end_line, string_agg(raw, '' ORDER BY line_no) AS body, list_last(string_split(file_path, '/')) AS fname FROM s GROUP BY file_path, hl)
     SELECT g.file_path, greatest(hl, 1) AS start_line, end_line, coalesce(level, 0) AS level, coalesce(title, fname) AS title, coalesce(heading_path, fname) AS heading_path, body
     FROM g LEFT JOIN hp ON hp.file_path = g.file_path AND hp.line_no = g.hl WHERE hl > 0 OR regexp_matches(body, '{_BLANK}')"""
-)
+
+
+@query(_SECTIONS)
 def md_sections(spark, sf_dir):
     """Sections of all Markdown files."""
     return sections(_markdown(spark, sf_dir), key="file_path", text="content", name=F.element_at(F.split("file_path", "/"), -1))
 
 
-@query()
+
+
+def _lines_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '[^{_LINE_ENDS}]*(?:\\r\\n|[{_LINE_ENDS}])|[^{_LINE_ENDS}]+')"
+
+
+_PACK = f"""WITH RECURSIVE sec AS ({_SECTIONS}),
+  g AS (SELECT row_number() OVER () AS id, *, {_lines_sql('body')} AS ls FROM sec WHERE length(body) > 3000),
+  l AS (SELECT *, list_transform(ls, lambda x: CAST(length(x) AS BIGINT)) AS n, list_transform(ls, lambda x: NOT regexp_matches(x, '{_BLANK}')) AS bl FROM g),
+  r AS (
+    SELECT id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS sz, CAST(-1 AS BIGINT) AS ca, CAST(-1 AS BIGINT) AS cb, CAST(-1 AS BIGINT) AS da, CAST(-1 AS BIGINT) AS db FROM l
+    UNION ALL
+    SELECT id, i + 1, CASE WHEN soft THEN i + 1 ELSE a2 END, CASE WHEN soft THEN 0 ELSE sz2 END, CASE WHEN closes THEN a ELSE -1 END, i,
+      CASE WHEN ov THEN i WHEN soft THEN a2 ELSE -1 END, i + 1
+    FROM (SELECT *, NOT ov AND blank AND sz2 >= 2400 AS soft, a < i AND (ov OR full_) AS closes
+      FROM (SELECT *, CASE WHEN ov THEN i + 1 WHEN full_ THEN c ELSE a END AS a2, CASE WHEN ov THEN 0 WHEN full_ THEN coalesce(list_sum(n[c + 1:i]), 0) + k ELSE sz + k END AS sz2
+        FROM (SELECT *, CASE WHEN coalesce(list_sum(n[greatest(a, i - 2) + 1:i]), 0) + k <= 3000 THEN greatest(a, i - 2)
+              WHEN coalesce(list_sum(n[greatest(a, i - 1) + 1:i]), 0) + k <= 3000 THEN greatest(a, i - 1) ELSE i END AS c
+          FROM (SELECT r.id, r.i, r.a, r.sz, l.n, l.n[r.i + 1] AS k, l.n[r.i + 1] > 3000 AS ov, r.a < r.i AND r.sz + l.n[r.i + 1] > 3000 AS full_, l.bl[r.i + 1] AS blank
+            FROM r JOIN l USING (id) WHERE r.i < len(l.ls)))))),
+  p AS (SELECT id, i, 0 AS o, ca AS a, cb AS b FROM r WHERE ca >= 0 UNION ALL SELECT id, i, 1, da, db FROM r WHERE da >= 0
+    UNION ALL SELECT r.id, r.i, 2, r.a, len(l.ls) FROM r JOIN l USING (id) WHERE r.i = len(l.ls) AND r.a < r.i AND list_contains(l.bl[r.a + 1:], false)),
+  t AS (SELECT p.*, l.file_path, l.title, l.heading_path, l.start_line AS l0, array_to_string(l.ls[p.a + 1:p.b], '') AS txt FROM p JOIN l USING (id)),
+  u AS (SELECT *, unnest(range(CAST(ceil(length(txt) / 3000.0) AS BIGINT))) AS k FROM t)
+SELECT file_path, title, heading_path, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o, k) AS INT) AS part, CAST(l0 + a AS INT) AS start_line, CAST(l0 + b - 1 AS INT) AS end_line,
+  substr(txt, k * 3000 + 1, 3000) AS body FROM u
+UNION ALL SELECT file_path, title, heading_path, 0, CAST(start_line AS INT), CAST(start_line + greatest(len({_lines_sql('body')}), 1) - 1 AS INT), body FROM sec WHERE length(body) <= 3000"""
+
+
+@query(_PACK)
 def md_pack_lines(spark, sf_dir):
     """Sections packed into chunks of at most 3000 characters."""
     return pack_long(md_sections(spark, sf_dir), keep=["file_path", "title", "heading_path"], text="body", first_line="start_line")
@@ -290,11 +333,27 @@ def md_title_clean(spark, sf_dir):
     return _chunks(spark, sf_dir).where("language = 'markdown' and signature is not null").select("chunk_id", clean_title(F.col("signature")).alias("title"))
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, {_lines_sql('text')} AS ls FROM documents WHERE contains(text, repeat('`', 3)) OR contains(text, '~~~')),
+  l AS (SELECT doc_id, i, regexp_replace(ls[i], '(?:\\r\\n|[{_LINE_ENDS}])\\z', '') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+  z AS (SELECT *, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})((?s).*)$', 1) AS mark, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})((?s).*)$', 2) AS rest FROM l),
+  m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM z WHERE mark <> ''),
+  st AS (WITH RECURSIVE r AS (
+      SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i, '' AS open FROM d
+      UNION ALL
+      SELECT r.doc_id, m.k, m.i, CASE WHEN r.open = '' AND NOT (m.mark[1] = '`' AND contains(m.rest, '`')) THEN m.mark
+          WHEN r.open <> '' AND starts_with(m.mark, r.open) AND trim(m.rest, chr(32) || chr(9)) = '' THEN '' ELSE r.open END
+      FROM r JOIN m ON m.doc_id = r.doc_id AND m.k = r.k + 1) SELECT * FROM r),
+  sp AS (SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY k) AS b, open FROM st)
+SELECT d.doc_id, CAST(len(d.ls) AS INT) AS lines,
+  CAST(coalesce(sum(CASE WHEN sp.open <> '' THEN coalesce(sp.b, len(d.ls) + 1) - sp.a END), 0)
+     + count(CASE WHEN sp.open <> '' AND nx.open = '' AND sp.b IS NOT NULL THEN 1 END) AS INT) AS fenced
+FROM d JOIN sp USING (doc_id) LEFT JOIN sp nx ON nx.doc_id = sp.doc_id AND nx.a = sp.b GROUP BY d.doc_id, d.ls"""
+)
 def fenced_texts(spark, sf_dir):
     """Documents with fenced blocks: lines inside and in all."""
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~")))
-    flags = fenced_flags(F.transform(lines_keepends(F.col("text")), lambda x: F.regexp_replace(x, "[\\r\\n]+\\z", "")))
+    flags = fenced_flags(F.transform(lines_keepends(F.col("text")), without_end))
     return docs.select("doc_id", F.size(flags).alias("lines"), F.size(F.filter(flags, lambda x: x)).alias("fenced"))
 
 
