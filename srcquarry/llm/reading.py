@@ -31,8 +31,10 @@ from ..tables import cut
 BLOCK_DOCS = 2_000
 GRID = np.linspace(-4.0, 4.0, 81)
 #: The alternation ends when a running word's difficulty moves by less than this on average, or after so many rounds.
-MOVED = 0.03
+MOVED = 0.05
 ROUNDS = 12
+#: Rows of a word table up to which it is sent to all tasks instead of being shuffled, at a few dozen bytes each.
+SMALL_TABLE = 1_000_000
 #: Graded documents from which a language starts from its grades.
 LEAST_GRADES = 5
 #: Prior precision of a level, of a difficulty (in words), and weight of a document's grade (in words).
@@ -168,11 +170,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {f: (b.column(f)[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(b.schema.field(f).type) else b.column(f)[i].as_py()) for f in b.schema.names}
 
 
-def _grown(blocks: DataFrame, words_: DataFrame, difficulties: DataFrame) -> DataFrame:
-    """The blocks with ``b``, the difficulties of their words in their order: joined by word, gathered by block."""
-    known = words_.join(difficulties.select("lang", "word", "b"), ["lang", "word"])
+class Words(NamedTuple):
+    """The words of all blocks by place, and how many rows these and the table of difficulties have."""
+
+    table: DataFrame
+    places: int
+    different: int
+
+
+def _grown(blocks: DataFrame, words_: Words, difficulties: DataFrame) -> DataFrame:
+    """The blocks with ``b``, the difficulties of their words in their order: joined by word, gathered by block.
+
+    Tables of known small size are sent to the blocks; larger ones meet them in shuffles, with the same result.
+    """
+    small = lambda df, n: F.broadcast(df) if n <= SMALL_TABLE else df
+    known = words_.table.join(small(difficulties.select("lang", "word", "b"), words_.different), ["lang", "word"])
     gathered = known.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("b"))
-    return blocks.join(gathered, "block", "left").withColumn("b", F.coalesce("b", F.expr("cast(array() as array<double>)")))
+    return blocks.join(small(gathered, words_.places), "block", "left").withColumn("b", F.coalesce("b", F.expr("cast(array() as array<double>)")))
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
@@ -294,7 +308,7 @@ def _newton(difficulties: DataFrame, sums: DataFrame, curves: dict[str, Curves])
     return difficulties.join(sums.where(F.col("word").isNotNull()).select("lang", "word", "s"), ["lang", "word"]).select("lang", "word", "n", "b", "s").mapInArrow(run, _WORDS)
 
 
-def fit(blocks: DataFrame, graded: dict[str, int], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, dict[str, Curves]]:
+def fit(blocks: DataFrame, graded: dict[str, int], rounds: int = ROUNDS) -> tuple[Words, DataFrame, dict[str, Curves]]:
     """Words of blocks, difficulties (``lang``, ``word``, ``b``) and curves, by alternating optimisation.
 
     ``blocks`` has standardised grades (null where unknown), ``graded`` their number per language. A round finds all
@@ -302,8 +316,9 @@ def fit(blocks: DataFrame, graded: dict[str, int], rounds: int = ROUNDS) -> tupl
     many words there are, and the driver holds a grid for each language. It ends when a running word's difficulty
     moves by less than MOVED on average, or after ``rounds``.
     """
-    words_ = cut(blocks.select("block", "lang", F.posexplode("words").alias("at", "word")))
+    table = cut(blocks.select("block", "lang", F.posexplode("words").alias("at", "word")))
     difficulties = cut(_first(_counts(blocks), graded))
+    words_ = Words(table, table.count(), difficulties.count())
     curves, _ = _curves(difficulties)
     for _ in range(rounds):
         sums = cut(_level_sums(_grown(blocks, words_, difficulties), curves))
@@ -314,7 +329,7 @@ def fit(blocks: DataFrame, graded: dict[str, int], rounds: int = ROUNDS) -> tupl
     return words_, difficulties, curves
 
 
-def score(blocks: DataFrame, words_: DataFrame, difficulties: DataFrame, curves: dict[str, Curves], *, key: str) -> DataFrame:
+def score(blocks: DataFrame, words_: Words, difficulties: DataFrame, curves: dict[str, Curves], *, key: str) -> DataFrame:
     """key, ``lang_used``, ``n_words``, ``theta`` and ``grade`` of all documents, by their text alone."""
     element = blocks.schema["keys"].dataType.elementType
     arrow_key, key_type = to_arrow_type(element), element.simpleString()
@@ -359,7 +374,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, key: str, text: s
     vectors = word_vectors(documents, key=key, text=text)
     blocks = cut(word_blocks(vectors.join(known, F.col(key) == F.col("__id"), "left").drop("__id"), key=key))
     graded = {r["lang"]: r["k"] for r in blocks.groupBy("lang").agg(F.sum(F.size(F.filter("grade", F.isnotnull))).alias("k")).collect()}
-    scored = score(blocks, *fit(blocks, graded, rounds), key=key)
+    scored = cut(score(blocks, *fit(blocks, graded, rounds), key=key))
     parts = scored.where(F.col("grade").isNotNull() & (F.col("n_words") > 0)).groupBy("lang_used").agg(
         F.count("*").alias("n"), F.sum("theta").alias("x"), F.sum("grade").alias("y"), F.sum(F.col("theta") * F.col("grade")).alias("xy"), F.sum(F.col("theta") * F.col("theta")).alias("xx")
     ).collect()

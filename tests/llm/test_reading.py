@@ -98,3 +98,12 @@ def test_rounds_end_by_themselves(spark, monkeypatch):
     d = spark.createDataFrame([(i, t) for i, t, _ in corpus(200)], "doc_id long, text string")
     lab = spark.createDataFrame([(i, "x", g) for i, _, g in corpus(200) if i % 2], "doc_id long, rater string, grade int")
     assert reading_levels(d, lab, key="doc_id", text="text", rounds=40).count() == 200 and 2 <= len(calls) < 40
+
+
+def test_shuffled_and_sent_tables_agree(spark, monkeypatch):
+    d = spark.createDataFrame([(i, t) for i, t, _ in corpus(120)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "x", g) for i, _, g in corpus(120) if i % 2], "doc_id long, rater string, grade int")
+    run = lambda: {r.doc_id: round(r.level, 6) for r in reading_levels(d, lab, key="doc_id", text="text", rounds=2).collect()}
+    sent = run()
+    monkeypatch.setattr("srcquarry.llm.reading.SMALL_TABLE", 0)
+    assert run() == sent
