@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import distance_to, similarity
 
 DIMENSIONS = 64
-_WORD = re.compile(r"\w+")
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def check_query(text: str | None, top_k: int) -> None:
@@ -77,19 +75,28 @@ def top_k_batch(queries: DataFrame, rows: DataFrame, *, k: int, id_: str, embedd
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_), "distance")
 
 
-def hash_vectors(texts: pd.Series) -> pd.Series:
-    """Deterministic bag-of-words vectors of length 1: words are counted by hash. None for text without words."""
+def word_codes(text: Column) -> Column:
+    """The words of a text, lower case, as numbers under DIMENSIONS by their hash; null for null."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % DIMENSIONS)
 
-    def one(text):
-        words = _WORD.findall(text.lower()) if text else []
-        if not words:
-            return None
-        v = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % DIMENSIONS for w in words], minlength=DIMENSIONS).astype(np.float32)
-        return v / np.linalg.norm(v)
 
-    return texts.map(one)
+def hash_embedding(text: Column) -> Column:
+    """The default offline embedding: how often each word code occurs; null for null texts and texts without words.
 
+    Words are found and hashed inside the JVM; a batch of texts is counted at once.
+    """
 
-def hash_embedding(text: Column) -> Column:
-    """The default offline embedding of a text column, in Arrow batches."""
-    return F.pandas_udf(hash_vectors, T.ArrayType(T.FloatType()))(text)
+    def count(codes: pd.Series) -> pd.Series:
+        sizes = codes.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
+        flat = np.concatenate([np.zeros(0, dtype=np.int64), *codes[sizes > 0]]).astype(np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(rows * DIMENSIONS + flat, minlength=len(sizes) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+        return pd.Series([v if n else None for v, n in zip(counts, sizes)], dtype=object)
+
+    return F.pandas_udf(count, T.ArrayType(T.FloatType()))(word_codes(text))
+
+
+def embed_one(spark: SparkSession, text: str, embed=hash_embedding) -> list[float] | None:
+    """The vector of one text by the same embedding that the rows have."""
+    return spark.createDataFrame([(text,)], "t string").select(embed(F.col("t")).alias("v")).first()["v"]

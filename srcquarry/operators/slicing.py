@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,26 +117,52 @@ def line_range(first_line: Column, last_line: Column) -> tuple[Column, Column]:
     return F.when(body, start).otherwise(first_line), F.when(body, end).otherwise(last_line)
 
 
-def compose(slices: DataFrame, *, language: str = "language", signature: str = "signature", max_tokens: int = 256) -> DataFrame:
+def char_count(text: Column) -> Column:
+    """One token per code point and two special ones."""
+    return F.char_length(text) + SPECIAL
+
+
+def token_count(make_counter: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A column function that counts by a tokenizer, built once in each task; null for null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make_counter()
+        for texts in batches:
+            yield texts.map(count, na_action="ignore").astype("Int32")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "int")
+
+
+def compose(
+    slices: DataFrame, *, language: str = "language", signature: str = "signature", max_tokens: int = 256, count: Callable[[Column], Column] = char_count
+) -> DataFrame:
     """Adds ``document`` and ``context_omitted``: a context line before the slice where it fits.
 
-    The context line may take a quarter of the budget and must fit together with the slice, counted one token
-    per code point and two special ones. A slice without signature has no context and omits none.
+    The context line may take a quarter of the budget and must fit together with the slice, by ``count``. A slice
+    without signature has no context and omits none.
     """
     label = F.when(F.col(language) == "markdown", "# Section: ").otherwise("// Signature: ")
     prefix = F.concat(label, F.col(signature), F.lit("\n"))
     has = F.length(F.coalesce(F.col(signature), F.lit(""))) > 0
-    fits = (F.char_length(prefix) + SPECIAL <= max_tokens // 4) & (F.char_length(prefix) + F.char_length("piece") + SPECIAL <= max_tokens)
+    fits = F.coalesce((count(prefix) <= max_tokens // 4) & (count(F.concat(prefix, F.col("piece"))) <= max_tokens), F.lit(False))
     return slices.withColumn("document", F.when(has & fits, F.concat(prefix, F.col("piece"))).otherwise(F.col("piece"))).withColumn(
         "context_omitted", F.when(has & ~fits, "signature").otherwise("")
     )
 
 
-def prepare(chunks: DataFrame, *, max_tokens: int = 256) -> DataFrame:
-    """Embedding-ready records of parser chunks: slices with provenance, comments as rows of their own."""
-    cut = char_slices(chunks, max_tokens=max_tokens)
+def prepare(chunks: DataFrame, *, max_tokens: int = 256, make_counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """Embedding-ready records of parser chunks: slices with provenance, comments as rows of their own.
+
+    Tokens are counted by characters, or by the tokenizer that ``make_counter`` makes. Body, doc and signature must be
+    strings: a column of another type is a TypeError.
+    """
+    for name in ("body", "doc", "signature"):
+        if chunks.schema[name].dataType.simpleString() not in ("string", "void"):
+            raise TypeError(f"{name} is not a string column")
+    cut = token_slices(chunks, make_counter, max_tokens=max_tokens) if make_counter else char_slices(chunks, max_tokens=max_tokens)
     start, end = line_range(F.col("start_line"), F.col("end_line"))
-    out = compose(cut.withColumn("__s", start).withColumn("__e", end), max_tokens=max_tokens)
+    out = compose(cut.withColumn("__s", start).withColumn("__e", end), max_tokens=max_tokens, count=token_count(make_counter) if make_counter else char_count)
     is_doc = F.col("source_field") == "doc"
     return out.select(
         *[c for c in chunks.columns if c not in ("type", "body", "doc", "start_line", "end_line")],

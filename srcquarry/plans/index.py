@@ -7,41 +7,59 @@ one atomic replacement of the manifest. Files whose content is unchanged keep th
 from __future__ import annotations
 
 import contextlib
+import hashlib
+import inspect
 import os
+import platform
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import routing
+from ..functions import text as text_functions
 from ..functions.identity import row_id
+from ..functions.tokenizers import bpe_counter
+from ..operators import code, markdown, packing
 from ..operators.code import parse_files
 from ..operators.diff import plan_diff
 from ..operators.markdown import sections
 from ..operators.packing import pack_long
-from ..operators.search import check_query, hash_embedding, hash_vectors, path_filter, top_k
+from ..operators.search import check_query, embed_one, hash_embedding, path_filter, top_k
 from ..operators.slicing import SPECIAL, check_budget, prepare
 from ..sources.repository import repository_files
 from ..tables import cut
 from . import store
 
-PARSER = "symbols-1"
+@lru_cache(maxsize=1)
+def parser_fingerprint() -> str:
+    """A hash of the code that makes chunks of files, and of the version of the interpreter whose parser it uses."""
+    digest = hashlib.sha256(platform.python_version().encode())
+    for module in (code, markdown, packing, routing, text_functions):
+        digest.update(inspect.getsource(module).encode())
+    return digest.hexdigest()
 
 
-def fingerprint(max_tokens: int, embedding: str) -> dict[str, str]:
-    return {"parser": PARSER, "chunker": f"chars-{max_tokens}", "embedding": embedding}
+def fingerprint(max_tokens: int, embedding: str, tokenizer: str | None = None) -> dict[str, str]:
+    """What must agree between the builds of an index, and between an index and its queries."""
+    chunker = f"chars-{max_tokens}"
+    if tokenizer:
+        with open(tokenizer, "rb") as f:
+            chunker = f"tokens-{max_tokens}-{hashlib.sha256(f.read()).hexdigest()}"
+    return {"parser": parser_fingerprint(), "chunker": chunker, "embedding": embedding}
 
 
 def file_chunks(files: DataFrame) -> DataFrame:
     """Parser output of files (relative_path, file_path, language, sha256, text) of all languages."""
     keep = ["relative_path", "file_path", "language", "sha256"]
-    code = parse_files(files, keep=keep, text="text", language="language")
+    symbols = parse_files(files, keep=keep, text="text", language="language")
     notes = files.where(F.col("language") == "markdown")
     cut = sections(notes, key="relative_path", text="text", name=F.element_at(F.split("relative_path", "/"), -1))
     packed = pack_long(cut, keep=["relative_path", "title", "heading_path"], text="body", first_line="start_line")
     ordinal = F.row_number().over(_by_file("relative_path", "start_line", "part")) - 1
-    markdown = packed.withColumn("chunk_ordinal", ordinal.cast("int")).join(notes.select(*keep), "relative_path").select(
+    notes_chunks = packed.withColumn("chunk_ordinal", ordinal.cast("int")).join(notes.select(*keep), "relative_path").select(
         *keep,
         "chunk_ordinal",
         F.lit("document_section").alias("type"),
@@ -52,16 +70,16 @@ def file_chunks(files: DataFrame) -> DataFrame:
         "start_line",
         "end_line",
     )
-    return code.unionByName(markdown)
+    return symbols.unionByName(notes_chunks)
 
 
 def _by_file(path: str, *order: str):
     return Window.partitionBy(path).orderBy(*order)
 
 
-def index_rows(chunks: DataFrame, embed: Callable[[Column], Column], max_tokens: int) -> DataFrame:
+def index_rows(chunks: DataFrame, embed: Callable[[Column], Column], max_tokens: int, tokenizer: str | None = None) -> DataFrame:
     """Stored rows of chunks: slices with ids that are stable across builds, and vectors."""
-    prepared = prepare(chunks, max_tokens=max_tokens)
+    prepared = prepare(chunks, max_tokens=max_tokens, make_counter=bpe_counter(tokenizer) if tokenizer else None)
     order = _by_file("relative_path", "chunk_ordinal", "source_field", "char_start")
     numbered = prepared.withColumn("slice_no", (F.row_number().over(order) - 1).cast("int")).drop("chunk_ordinal").withColumnRenamed("slice_no", "chunk_ordinal")
     return numbered.withColumnRenamed("sha256", "file_sha256").withColumn("id", row_id(F.col("relative_path"), F.col("file_sha256"), F.col("chunk_ordinal"))).withColumn(
@@ -80,8 +98,12 @@ def _manifest_files(spark: SparkSession, db: str, manifest: dict | None) -> Data
     return spark.read.parquet(_tables(db, manifest["collection"])[1])
 
 
-def plan(spark: SparkSession, repo: str, db: str, *, max_tokens: int = 256, embedding: str = "hash-64") -> dict:
-    """What a build would do; reads sources and manifest only."""
+def plan(spark: SparkSession, repo: str, db: str) -> dict:
+    """What a build would do; reads sources and manifest only.
+
+    ``changed_files`` is a table (``relative_path``, ``change``), ``changes`` counts it; the list of files does not
+    pass through the driver.
+    """
     repo = os.path.abspath(repo)
     if not os.path.isdir(repo):
         raise ValueError("no such repository")
@@ -89,12 +111,25 @@ def plan(spark: SparkSession, repo: str, db: str, *, max_tokens: int = 256, embe
     with store.operation_lock(db, create=False):
         store.validate_owner(db, repo)
         manifest = store.active_index(db)
+        pending = store.read_json(os.path.join(db, store.PENDING)) is not None
         files = repository_files(spark, repo).select("relative_path", "sha256")
-        changes = {r[0]: r[1] for r in plan_diff(files, _manifest_files(spark, db, manifest), key=["relative_path"], digest="sha256").collect()}
-        changed = manifest is not None and manifest["fingerprint"].get("parser") != PARSER
-        status = "first_build" if manifest is None else "fingerprint_changed" if changed else "content_changes" if changes else "no_changes"
-        mode = "full" if manifest is None or changed else "incremental" if changes else "skip"
-        return {"repo_dir": repo, "status": status, "recommended_mode": mode, "changed_files": changes, "file_count": files.count()}
+        changed_files = plan_diff(files, _manifest_files(spark, db, manifest), key=["relative_path"], digest="sha256")
+        changes = {r["change"]: r["count"] for r in changed_files.groupBy("change").count().collect()}
+        foreign = manifest is None and store.holds_other_data(db)
+        parser_changed = manifest is not None and manifest["fingerprint"].get("parser") != parser_fingerprint()
+        status = "migration_required" if foreign else "first_build" if manifest is None else "fingerprint_changed" if parser_changed else "content_changes" if changes else "no_changes"
+        return {
+            "repo_dir": repo,
+            "db_path": os.path.abspath(db),
+            "status": status,
+            "recommended_mode": "full" if manifest is None or parser_changed else "incremental" if changes else "skip",
+            "changes": changes,
+            "changed_files": changed_files,
+            "file_count": files.count(),
+            "pending_build": pending,
+            "active_collection": manifest["collection"] if manifest else None,
+            "note": "Compared by content; chunker and embedding are compared when the index is built.",
+        }
 
 
 def build(
@@ -106,15 +141,21 @@ def build(
     max_tokens: int = 256,
     embed: Callable[[Column], Column] = hash_embedding,
     embedding: str = "hash-64",
+    tokenizer: str | None = None,
 ) -> dict:
-    """Build or update the index. A failure leaves the active generation as it was."""
+    """Build or update the index. A failure leaves the active generation as it was.
+
+    ``max_tokens`` counts characters, or tokens of the ``tokenizer`` file. ``embedding`` names what ``embed`` does.
+    """
     check_budget(max_tokens)
     repo = os.path.abspath(repo)
     store.validate_location(db, repo)
     with store.operation_lock(db, create=True):
         store.validate_owner(db, repo)
         manifest = store.active_index(db)
-        now = fingerprint(max_tokens, embedding)
+        now = fingerprint(max_tokens, embedding, tokenizer)
+        if manifest is None and not full and store.holds_other_data(db):
+            raise ValueError("the folder holds data of another kind: a full build is needed")
         if manifest is not None and manifest["fingerprint"] != now and not full:
             raise ValueError("parser, chunker or embedding changed: a full build is needed")
         files = repository_files(spark, repo)
@@ -133,11 +174,15 @@ def build(
         store.atomic_json(os.path.join(db, store.PENDING), {"repo_dir": repo, "schema": store.SCHEMA, "collection": collection, "status": "building"})
         reuse = manifest is not None and not full
         todo = files.join(diff.where("change <> 'D'").select("relative_path"), "relative_path", "left_semi") if reuse else files
-        rows = index_rows(file_chunks(todo), embed, max_tokens)
+        rows = index_rows(file_chunks(todo), embed, max_tokens, tokenizer)
         kept = None
         if reuse:
             unchanged = seen.select("relative_path", F.col("sha256").alias("file_sha256"))
             kept = spark.read.parquet(rows_path).join(unchanged, ["relative_path", "file_sha256"], "left_semi")
+            held = kept.groupBy("relative_path").agg(F.count("*").alias("held"))
+            same = old_files.join(seen, ["relative_path", "sha256"], "left_semi").join(held, "relative_path", "left")
+            if not same.where(F.coalesce("held", F.lit(0)) != F.col("chunks")).isEmpty():
+                raise RuntimeError("an unchanged file does not have the rows its manifest names")
             rows = rows.unionByName(kept)
         rows_out, files_out = _tables(db, collection)
         rows.write.parquet(rows_out)
@@ -167,10 +212,25 @@ def build(
         }
 
 
-def query(spark: SparkSession, db: str, text: str, *, k: int = 5, path: str | None = None, repo: str | None = None, max_tokens: int = 256) -> list[dict]:
-    """The stored rows nearest to a text; input is checked before anything is opened."""
+def query(
+    spark: SparkSession,
+    db: str,
+    text: str,
+    *,
+    k: int = 5,
+    path: str | None = None,
+    repo: str | None = None,
+    max_tokens: int = 256,
+    embed: Callable[[Column], Column] = hash_embedding,
+    embedding: str = "hash-64",
+    tokenizer: str | None = None,
+) -> DataFrame:
+    """The ``k`` stored rows nearest to a text, with ``distance`` and ``similarity``; input is checked before anything is opened.
+
+    An index that was built with another chunker or embedding is an error.
+    """
     check_query(text, k)
-    if len(text) + SPECIAL > max_tokens:
+    if (bpe_counter(tokenizer)()(text) if tokenizer else len(text) + SPECIAL) > max_tokens:
         raise ValueError("the query text is over the token budget")
     with store.operation_lock(db, create=False):
         if repo is not None:
@@ -178,11 +238,12 @@ def query(spark: SparkSession, db: str, text: str, *, k: int = 5, path: str | No
         manifest = store.active_index(db)
         if manifest is None:
             raise ValueError("there is no index")
+        now = fingerprint(max_tokens, embedding, tokenizer)
+        if any(manifest["fingerprint"].get(part) != now[part] for part in ("chunker", "embedding")):
+            raise RuntimeError("the index was built with another chunker or embedding: use these, or build it anew")
         rows = spark.read.parquet(_tables(db, manifest["collection"])[0])
         if rows.count() != manifest["chunks"]:
             raise RuntimeError("the active generation does not have the rows its manifest names")
-        vector = hash_vectors(pd.Series([text]))[0]
-        if vector is None:
-            return []
-        found = top_k(rows, vector, k=k, id_="id", embedding="embedding", where=path_filter(F.col("file_path"), path))
-        return [r.asDict() for r in found.drop("embedding").collect()]
+        vector = embed_one(spark, text, embed)
+        where = path_filter(F.col("file_path"), path) if vector else F.lit(False)
+        return top_k(rows, vector or [1.0], k=k, id_="id", embedding="embedding", where=where).drop("embedding")

@@ -14,7 +14,7 @@ from ..operators.code import parse_files
 from ..operators.diff import fingerprints_differ, plan_diff, plan_status
 from ..operators.markdown import clean_title, fenced_flags, heading_paths, headings, numbered_lines, sections
 from ..operators.packing import pack_long
-from ..operators.search import hash_embedding, path_filter, top_k, top_k_batch
+from ..operators.search import embed_one, hash_embedding, path_filter, top_k, top_k_batch
 from ..operators.slicing import char_slices, compose, prepare, token_slices
 from ..operators.windows import overlapping_windows, uncovered
 from ..tables import latest, spread, table
@@ -634,7 +634,16 @@ def hits_json_fields(spark, sf_dir):
     return hit_fields(found).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_FENCE = "CASE WHEN language IN ('cpp', 'c', 'python', 'go', 'markdown') THEN language ELSE 'text' END"
+
+
+@query(
+    f"""WITH {_HIT}, n AS (SELECT *, row_number() OVER (ORDER BY round(distance, 12), id) AS rank FROM r)
+    SELECT CAST(rank AS INT) AS rank, id, concat_ws(chr(10), '### ' || rank || '. ' || coalesce(nullif(name, ''), file_path), '- File: `' || file_path || '`', '- Type: ' || type, '- Language: ' || language,
+      '- ' || CASE WHEN line_range_kind = 'associated_symbol' THEN 'Lines of the documented symbol' ELSE 'Lines' END || ': ' || start_line || '-' || end_line,
+      '- Score: ' || printf('%.4f', greatest(0.0, 1 - distance)), CASE WHEN length(signature) > 0 THEN '- Signature: `' || signature || '`' END,
+      chr(10) || '```' || {_FENCE} || chr(10) || coalesce(source_text, '') || chr(10) || '```' || chr(10)) AS block FROM n"""
+)
 def hits_text(spark, sf_dir):
     """The twenty best hits as text blocks."""
     found = top_k(_test_hits(spark, sf_dir), [1.0, 1.0, 0.5], k=20, id_="id", embedding="embedding")
@@ -642,16 +651,22 @@ def hits_text(spark, sf_dir):
     return found.withColumn("rank", rank).select("rank", "id", hit_text(F.col("rank")).alias("block"))
 
 
-@query()
-def search_text(spark, sf_dir):
-    """Index rows nearest to a question by the default embedding: embedded in Arrow batches, ranked exactly."""
-    import pandas as pd
+_QUESTION = "rotate the ledger before the next build"
+
+
+def _codes(text: str) -> str:
+    counts = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CAST('0x' || md5(w)[1:4] AS INT) % 64)"
+    return f"list_transform(range(64), lambda k: CAST(len(list_filter({counts}, lambda c: c = k)) AS DOUBLE))"
 
-    from ..operators.search import hash_vectors
 
+@query(
+    f"""WITH v AS (SELECT id, {_codes('document')} AS v FROM {_S} WHERE regexp_matches(document, '[\\p{{L}}\\p{{N}}_]')), q AS (SELECT {_codes(f"'{_QUESTION}'")} AS w),
+    d AS (SELECT id, 1 - list_cosine_similarity(v, w) AS distance FROM v, q) SELECT id, round(distance, 6) AS distance FROM d ORDER BY d.distance, id LIMIT 20"""
+)
+def search_text(spark, sf_dir):
+    """Index rows nearest to a question by the default embedding, ranked exactly."""
     rows = _stored(spark, sf_dir).select("id", "document").withColumn("embedding", hash_embedding(F.col("document")))
-    vector = hash_vectors(pd.Series(["rotate the ledger before the next build"]))[0]
-    return top_k(rows, vector, k=20, id_="id", embedding="embedding").select("id", F.round("distance", 6).alias("distance"))
+    return top_k(rows, embed_one(spark, _QUESTION), k=20, id_="id", embedding="embedding").select("id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"SELECT language, type, count(*) AS chunks, sum(length(body)) AS chars, sum(length(body) - length(replace(body, chr(10), ''))) AS line_feeds FROM {_C} GROUP BY 1, 2")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FENCES = ("cpp", "c", "python", "go", "markdown")
@@ -37,3 +39,18 @@ def hit_text(rank: Column) -> Column:
         signature,
         F.concat(F.lit("\n```"), fence, F.lit("\n"), F.coalesce("source_text", F.lit("")), F.lit("\n```\n")),
     )
+
+
+def hits_as_text(hits: DataFrame, question: str) -> str:
+    """The k hits of one question as a Markdown page."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))  # k rows
+    blocks = [r["block"] for r in ranked.select("rank", hit_text(F.col("rank")).alias("block")).orderBy("rank").collect()]
+    if not blocks:
+        return f"Nothing found for {question!r}."
+    return "\n".join([f"## {len(blocks)} results for {question!r}\n", *blocks])
+
+
+def hits_as_json(hits: DataFrame) -> str:
+    """The k hits of one question as a JSON array, nearest first."""
+    rows = [r.asDict() for r in hit_fields(hits.orderBy("distance", "id")).collect()]
+    return json.dumps(rows, indent=2, ensure_ascii=False)

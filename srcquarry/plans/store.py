@@ -62,6 +62,14 @@ def active_index(db: str) -> dict | None:
     return m
 
 
+def holds_other_data(db: str) -> bool:
+    """Whether the folder has files although no index was ever made or begun in it."""
+    if not os.path.isdir(db):
+        return False
+    own = {ACTIVE, PENDING, LOCK, "generations"}
+    return any(name not in own and not name.startswith(".tmp-") for name in os.listdir(db))
+
+
 def validate_owner(db: str, repo: str) -> None:
     for name in (ACTIVE, PENDING):
         m = read_json(os.path.join(db, name))

@@ -42,9 +42,11 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is used.
+    Where the session names none, a temporary folder is used on one machine; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc = spark.sparkContext

@@ -46,15 +46,15 @@ def test_build_cycle(spark, repo, tmp_path):
     (repo / "other.md").write_text("# other\nmore words here\n")
     (repo / "a.py").write_text("def g():\n    return 2\n")
     plan = index.plan(spark, str(repo), db)
-    assert plan["changed_files"] == {"other.md": "A", "a.py": "M"} and plan["recommended_mode"] == "incremental"
+    assert dict(map(tuple, plan["changed_files"].select("relative_path", "change").collect())) == {"other.md": "A", "a.py": "M"} and plan["changes"] == {"A": 1, "M": 1} and plan["recommended_mode"] == "incremental"
     second = index.build(spark, str(repo), db)
     assert (second["parsed_files"], second["reused_files"]) == (2, 2)
     (repo / "other.md").unlink()
     assert index.build(spark, str(repo), db)["deleted_files"] == 1
-    hits = index.query(spark, db, "title original", k=3)
+    hits = index.query(spark, db, "title original", k=3).collect()
     assert hits[0]["relative_path"] == "readme.md" and hits[0]["source_text"] == "# title\noriginal\n"
-    assert index.query(spark, db, "title", path="absent") == []
-    assert all("a.py" in h["file_path"] for h in index.query(spark, db, "return", path="a.py"))
+    assert index.query(spark, db, "title", path="absent").collect() == [] and index.query(spark, db, "...").collect() == []
+    assert all("a.py" in h["file_path"] for h in index.query(spark, db, "return", path="a.py").collect())
 
 
 def test_failure_keeps_the_active_generation(spark, repo, tmp_path):
@@ -83,3 +83,68 @@ def test_guards(spark, repo, tmp_path):
         f.write("{broken")
     with pytest.raises(json.JSONDecodeError):
         store.active_index(db)
+
+
+def test_query_guards_and_output(spark, repo, tmp_path, capsys):
+    from srcquarry import cli
+    from srcquarry.plans.render import hits_as_json, hits_as_text
+
+    db = str(tmp_path / "db")
+    index.build(spark, str(repo), db)
+    for other in ({"max_tokens": 128}, {"embedding": "other"}, {"tokenizer": "/opt/tokenizers/byte_bpe_50k.json"}):
+        with pytest.raises(RuntimeError, match="another chunker or embedding"):
+            index.query(spark, db, "title", **other)
+    hits = index.query(spark, db, "title original", k=2)
+    page = hits_as_text(hits, "title original")
+    assert page.startswith("## 2 results") and "```markdown\n# title\noriginal\n" in page and "- Score: 0." in page
+    first = json.loads(hits_as_json(hits))[0]
+    assert first["code"] == "# title\noriginal\n" and first["language"] == "markdown" and first["char_offset_scope"] == "body"
+    assert hits_as_text(index.query(spark, db, "title", path="absent"), "title") == "Nothing found for 'title'."
+    for form in ("text", "json"):
+        assert cli.main(["query", "--repo", str(repo), "--db", db, "--query", "title", "--format", form]) == 0
+    assert cli.main(["plan", "--repo", str(repo), "--db", db]) == 0 and "no_changes" in capsys.readouterr().out
+
+
+def test_token_budget(spark, repo, tmp_path):
+    db, tokenizer = str(tmp_path / "db"), "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(tokenizer):
+        pytest.skip("no tokenizer files here")
+    (repo / "long.md").write_text("# long\n" + "many words in a row " * 400)
+    index.build(spark, str(repo), db, max_tokens=64, tokenizer=tokenizer)
+    rows = index.query(spark, db, "many words in a row", k=50, max_tokens=64, tokenizer=tokenizer).collect()
+    assert max(r.token_count for r in rows) <= 64 and sum(r.relative_path == "long.md" for r in rows) > 20
+    assert max(len(r.source_text) for r in rows) > 128  # tokens, not characters
+    with pytest.raises(ValueError, match="budget"):
+        index.query(spark, db, "many words " * 60, max_tokens=64, tokenizer=tokenizer)
+    with pytest.raises(ValueError, match="full build"):
+        index.build(spark, str(repo), db, max_tokens=64)
+
+
+def test_other_data_needs_a_full_build(spark, repo, tmp_path):
+    db = tmp_path / "db"
+    db.mkdir()
+    (db / "old.sqlite3").write_text("x")
+    (db / store.LOCK).write_text("")
+    assert index.plan(spark, str(repo), str(db))["status"] == "migration_required"
+    with pytest.raises(ValueError, match="full build"):
+        index.build(spark, str(repo), str(db))
+    assert index.build(spark, str(repo), str(db), full=True)["mode"] == "full" and index.plan(spark, str(repo), str(db))["status"] == "no_changes"
+
+
+def test_rows_of_reused_files_are_checked(spark, repo, tmp_path):
+    db = str(tmp_path / "db")
+    built = index.build(spark, str(repo), db)
+    rows, files = index._tables(db, built["collection_name"])
+    moved = spark.createDataFrame([("readme.md", 0), ("a.py", 9), ("__init__.py", 0)], "relative_path string, chunks long")
+    spark.read.parquet(files).drop("chunks").join(moved, "relative_path").write.parquet(str(tmp_path / "files"))
+    os.rename(files, str(tmp_path / "before"))
+    os.rename(str(tmp_path / "files"), files)
+    (repo / "new.md").write_text("# new\n")
+    with pytest.raises(RuntimeError, match="unchanged file"):
+        index.build(spark, str(repo), db)
+
+
+def test_failing_version_control_is_an_error(tmp_path):
+    (tmp_path / ".git").write_text("gitdir: /nowhere")
+    with pytest.raises(subprocess.CalledProcessError):
+        source_paths(str(tmp_path))
