@@ -272,8 +272,7 @@ def md_headings(spark, sf_dir):
 @query(f"WITH {_HEADS}, {_PATHS} SELECT file_path, line_no, level, title, heading_path FROM hp")
 def md_heading_path(spark, sf_dir):
     """Headings with the path of the headings above them."""
-    found = headings(numbered_lines(_markdown(spark, sf_dir), key="file_path", text="content"), key="file_path")
-    return heading_paths(found, key="file_path")
+    return heading_paths(_markdown(spark, sf_dir), key="file_path", text="content")
 
 
 _SECTIONS = f"""WITH {_HEADS}, {_PATHS},
