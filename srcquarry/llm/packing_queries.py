@@ -28,6 +28,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("fill", F.col("tokens") / (F.col("containers") * _capacity(spark, sf_dir)))
 
 
-SQL: dict[str, str] = {}
+def p7_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, joined again from its parts in all containers."""
+    parts = p7_containers(spark, sf_dir).select(F.inline("items"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "")
+    return parts.groupBy("doc_id").agg(F.sha2(joined, 256).alias("digest"), F.count("*").cast("int").alias("n"), F.max("parts").alias("parts")).select(
+        "doc_id", "digest", (F.col("n") == F.col("parts")).alias("whole")
+    )
+
+
+SQL = {"p7_rejoined": "SELECT doc_id, sha256(coalesce(text, '')) AS digest, true AS whole FROM documents"}
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_rejoined": p7_rejoined}
