@@ -57,16 +57,16 @@ class Reducer:
     matched on, such as the one in which operands are single symbols. Small views keep the patterns small.
     """
 
-    def __init__(self, readings: dict[str, list[tuple[int, str, str]]], views: dict[str, Callable[[str], str]], tidy: Callable[[str], str] | None = None):
+    def __init__(self, readings: dict[str, list[tuple[int, str, str]]], views: dict[str, Callable[[str], str]], *tidies: Callable[[str], str]):
         self.readings = {b: [(bit, view, re.compile(p)) for bit, view, p in rs] for b, rs in readings.items()}
         self.views = views
-        self.tidy = tidy
+        self.tidies = tidies or (str,)
         self.memo: dict[str, str] = {}
 
-    def with_tidy(self, tidy: Callable[[str], str]) -> "Reducer":
-        """The same readings behind another tidying of the contents."""
+    def with_tidies(self, *tidies: Callable[[str], str]) -> "Reducer":
+        """The same readings behind other tidyings of the contents."""
         other = copy(self)
-        other.tidy, other.memo = tidy, {}
+        other.tidies, other.memo = tidies, {}
         return other
 
     def group(self, m: re.Match) -> str:
@@ -77,14 +77,16 @@ class Reducer:
         bracket, inside, end = m[1], m[2], m[3]
         mask = 0
         if _PAIR[bracket] == end:
-            if self.tidy:
-                inside = self.tidy(inside)
-            seen: dict[str, str] = {}
-            for bit, view, pattern in self.readings[bracket]:
-                if view not in seen:
-                    seen[view] = self.views[view](inside)
-                if pattern.fullmatch(seen[view]):
-                    mask |= bit
+            for tidy in self.tidies:  # a later one counts only where the earlier ones leave no reading
+                tidied = tidy(inside)
+                seen: dict[str, str] = {}
+                for bit, view, pattern in self.readings[bracket]:
+                    if view not in seen:
+                        seen[view] = self.views[view](tidied)
+                    if pattern.fullmatch(seen[view]):
+                        mask |= bit
+                if mask:
+                    break
         if not mask:
             raise Unreadable
         symbol = chr(_BASE[bracket] + mask)

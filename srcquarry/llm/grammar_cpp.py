@@ -18,7 +18,7 @@ _WORDS = {
         "o": "operator", "i": "if", "l": "else", "f": "for", "w": "while", "d": "do", "s": "switch", "k": "case", "D": "default",
         "b": "break continue", "r": "return co_return", "g": "goto", "Y": "try", "C": "catch", "h": "throw co_yield", "W": "new", "X": "delete",
         "z": "sizeof alignof alignas decltype noexcept typeid co_await _Alignof _Alignas", "p": "public private protected",
-        "K": "const_cast static_cast dynamic_cast reinterpret_cast", "A": "static_assert _Static_assert",
+        "K": "const_cast static_cast dynamic_cast reinterpret_cast", "A": "static_assert _Static_assert", "M": "__attribute__ __declspec __extension__",
         "B": "and or xor bitand bitor not_eq", "!": "not compl",
     }.items()
     for word in group.split()
@@ -28,7 +28,7 @@ _OPS = {
     "!": "!", "~": "~", "<": "<", ">": ">", "?": "?", "...": "E", ".": ".",
 }
 _TOKEN = re.compile(
-    r"//(?:[^\n\\]|\\\r?\n|\\.)*|/\*(?s:.*?)\*/"
+    r"\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*|/\*(?s:.*?)\*/"
     r"|^[ \t]*\#(?:[^\n\\/]|\\\r?\n|\\.|/(?![/*]))*"
     r'|(?:u8|[uUL])?R"([^()\\\s]{0,16})\((?s:.*?)\)\1"|(?:u8|[uUL])?"(?:[^"\\\n]|\\(?s:.))*"|(?:u8|[uUL])?\'(?:[^\'\\\n]|\\.)+\''
     r"|[^\W\d]\w*|\.?\d(?:[\w.]|[eEpP][+-]|'(?=\w))*"
@@ -49,7 +49,7 @@ _IF = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|endif)\b", re.M)
 
 def _classify(token: str) -> str:
     c = token[0]
-    if token[:2] in ("//", "/*"):
+    if token[:2] in ("//", "/*") or c == "\\" and len(token) > 1:
         return ""
     if "#" in token and token.lstrip()[:1] == "#":
         return "" if _DIRECTIVE.fullmatch(token) else "\x00"
@@ -73,15 +73,27 @@ def _classify(token: str) -> str:
 _LIST = re.compile("(?<=[aKT])<(?:[qnceta0SEUB*&JD,.=\"!-]|(?<=T)a)*>")
 
 
-def _untemplate(inside: str) -> str:
+#: Those that hold no logical operator: what looks like another list may be two comparisons.
+_SURE_LIST = re.compile("(?<=[aKT])<(?:[qnceta0SEU*&D,.=\"!-]|(?<=T)a)*>")
+_ATTRIBUTE = re.compile("M[\ue000-\ue0ff]?")
+
+
+def _untemplate(inside: str, lists: re.Pattern = _LIST) -> str:
+    if "M" in inside:
+        inside = _ATTRIBUTE.sub("", inside)
     while "<" in inside:
-        shorter = _LIST.sub("", inside)
+        shorter = lists.sub("", inside)
         if shorter == inside:
             break
         inside = shorter
     return inside
 
 
+def _compare(inside: str) -> str:
+    """Like ``_untemplate``, with comparisons joined by logical operators left as they are."""
+    return _untemplate(inside, _SURE_LIST)
+
+
 def _patterns():
     args, params, loop, type_id, condition = (symbols("(", 1 << i) for i in range(5))
     index, attribute, capture = (symbols("[", 1 << i) for i in range(3))
@@ -99,7 +111,7 @@ def _patterns():
     # An operand with all that follows it becomes one symbol; a name alone stays a name.
     no_head = "(?<![ifwsCz])"
     lam = rf"{capture}{params}?(?:[qa]|z{args}?)*(?:V{type_}{ptr})?{block}"
-    primary = rf'(?:0|"+|{lam}|W{args}?{type_}\**{index}*(?:{args}|{init})?|K{args}|{no_head}{args}|{name}(?:{init})?|n{name}(?={args}|{init})|t+(?={args}|{init})|z{any_p})'
+    primary = rf'(?:0|"+|{lam}|W{args}?{type_}\**{index}*(?:{args}|{init})?|K{args}|{no_head}{args}|{name}(?:{init})?|n{name}(?={args}|{init})|t+(?={args}|{init})|z{any_p}|{op}(?={args}))'
     post = rf"(?:{args}|{index}|[.V]T?~?(?:{name}|{op})|P|(?<!{any_p}){init}|E)"
     operand = re.compile(rf"(?:{no_head}{type_id}[U*&J!~P]*)*{primary}{post}*")
     plain_name = re.compile(name)
@@ -116,7 +128,7 @@ def _patterns():
     declarator = rf"{ptr}(?:[ax]|{args}{params}|{capture})(?:{index})*{attr}(?:={value}|{args}|{init}|:{e})?"
     decl = rf"{loose}{declarator}(?:,{declarator})*"
     # Outside of blocks only the values after '=' are read as operands: declarators need their parameters.
-    right = re.compile(r"(?<!o)=((?![DX0];)[^;,]*)")
+    right = re.compile(r"(?<!o)(?<!ua)=((?![DX0];)[^;,]*)")
     read_value = re.compile(value)
 
     def values(inside: str) -> str:
@@ -134,7 +146,7 @@ def _patterns():
     outer = (
         rf"(?:;|{attr}(?:T(?:a(?=[qntcau]))?)*(?:{klass}|{enum}|{func}(?:{inits}{block}|(?:=[0DX])?;)|{w_decl};|u{name}=[^;\x00]*;)"
         rf"|q?N{attr}{name}?{scope}|N{name}=x;|q\"(?:{scope}|{func}(?:{block}|;)|{w_decl};)|u[Nne]?{name}(?:,{name})*;"
-        rf"|y{w_decl};|y{type_}{ptr}{args}{params};|A{args};|T{type_}{w_declarator};)"
+        rf"|y{w_decl};|y{type_}{ptr}{args}{params};|y{type_}{ptr}{name}{params};|q{name};|A{args};|T{type_}{w_declarator};)"
     )
     control = rf"(?:iq?{condition}|f{loop}|w{condition}|s{condition}|l|d|k{flat}(?:E{flat})?:(?!:)|D:|a:(?!:)|{attribute})"
     statement = (
@@ -146,7 +158,7 @@ def _patterns():
     element = rf"(?:(?:(?:\.a|{index})+=?)?{value}E?|a:{value})"
     readings = {
         "(": [
-            (1, "operands", rf"(?:{item}(?:,{item})*)?|{ptr}a?|{loose}{ptr}"),
+            (1, "operands", rf"(?:{item}(?:,{item})*)?|{ptr}a?|{loose}{ptr}|[*&J]q*a{params}"),
             (2, "values", rf"(?:{parameter}(?:,{parameter})*(?:,?E)?|E|t)?"),
             (4, "operands", rf"(?:{decl}|{es})?;(?:{e}|{decl})?;(?:{es})?|(?:(?:{decl}|{es});)?{loose}{ptr}(?:a|{index}|{capture}):{value}"),
             (8, "raw", rf"{type_}{ptr}(?:{any_p}{{1,2}})?{index}*"),
@@ -155,7 +167,7 @@ def _patterns():
         "[": [
             (1, "operands", rf"(?:{value}(?:E{value})?)?"),
             (2, "raw", "[\ue100-\ue1ff]"),
-            (4, "values", r"(?:[&=]|(?:[&*]?[a0]E?(?:=x)?))?(?:,&?[a0]E?(?:=x)?)*"),
+            (4, "raw", r"(?:[&=]|(?:[&*]?[a0]E?(?:=[^,;=]+)?))?(?:,[&*]?[a0]E?(?:=[^,;=]+)?)*"),
         ],
         "{": [
             (1, "operands", rf"(?>{statement})*"),
@@ -165,16 +177,19 @@ def _patterns():
             (16, "values", rf"(?>{outer})*"),
         ],
     }
-    return Reducer(readings, {"raw": str, "operands": operands, "values": values}, _untemplate), re.compile(rf"(?>{outer})*"), values
+    return Reducer(readings, {"raw": str, "operands": operands, "values": values}, _untemplate, _compare), re.compile(rf"(?>{outer})*"), values
 
 
 #: Names in capitals may be macros that stand for something other than an expression.
-_MACRO = re.compile(r"(?:[A-Z_][A-Z0-9]*_[A-Z0-9_]*|[A-Z][A-Z0-9]{3,}|__\w+|[A-Z]\w*API\w*_[A-Z]+)")
+_MACRO = re.compile(r"(?:[A-Z_][A-Z0-9]*_[A-Z0-9_]*|[A-Z][A-Z0-9]{3,}|__\w+|[A-Z]\w*_[A-Z]{2,})")
 _PAREN = "[\ue000-\ue0ff]"
-_MACRO_TYPE = re.compile(rf"m{_PAREN}(?=[*&q]*[am])")
-_MACRO_BEFORE = re.compile(rf"(?:^|(?<=[;\ue200-\ue2ff]))(?:m{_PAREN}?;?)+(?=[qtnceyTNuam]|$)")
-_MACRO_AFTER = re.compile(rf"(?<=[\ue000-\ue1ffaq])(?:m{_PAREN}?)+(?=[;,={{\ue200-\ue2ff]|$)")
-_MACRO_INSIDE = re.compile(rf"(?<=[qtce])m{_PAREN}?(?=[qtcea*])")
+_MACRO_TYPE = re.compile(rf"m{_PAREN}(?=[*&q]*a|[*&q]+(?:m|{_PAREN})|m(?!{_PAREN}))")
+# What may follow a macro before a declaration: a type with what it declares, so that a lone name of a type in capitals stays.
+_DECLARES = rf"[qtnceyTNu]|S?[am](?:S[am])*(?:[*&J]q*)*[qam]|S?[am](?:S[am])*[*&J]+q*{_PAREN}|[am]{_PAREN}|~"
+_MACRO_BEFORE = re.compile(rf"^(?:m{_PAREN}?;?)+(?={_DECLARES})|(?:(?<=;)(?:m{_PAREN}?;?)+|(?<=[\ue200-\ue2ff])(?:m{_PAREN};?|m(?![;,=]))+)(?={_DECLARES}|$)")
+_MACRO_AFTER = re.compile(rf"(?:(?<=[\ue000-\ue1ff])|(?<=[\ue000-\ue0ff]q)|(?<=[tam*&J]a))(?:m{_PAREN}?)+(?=[;,={{\ue200-\ue2ff]|$)")
+_MACRO_INSIDE = re.compile(rf"(?<=[tce])m{_PAREN}?(?=[qtcea*])|(?<=q)m{_PAREN}?(?=[qtce]|S?[am](?:S[am])*[*&Jq]*[am])|(?<=[*&J])m(?=[am])|(?<=[am])m(?=[am]{_PAREN})")
+_MACRO_STRING = re.compile('(?<=")[am](?=")')
 
 
 def _without_macros(inside: str) -> str:
@@ -185,6 +200,8 @@ def _without_macros(inside: str) -> str:
         inside = _MACRO_AFTER.sub("", inside)
         inside = _MACRO_INSIDE.sub("", inside)
         inside = inside.replace("m", "a")
+    if '"' in inside:
+        inside = _MACRO_STRING.sub("", inside)
     return _untemplate(inside)
 
 
@@ -196,7 +213,7 @@ def _classify_macros(token: str) -> str:
 _SYMBOLS = TokenSymbols(_classify)
 _MACRO_SYMBOLS = TokenSymbols(_classify_macros)
 _REDUCER, _UNIT, _UNIT_VIEW = _patterns()
-_MACRO_REDUCER = _REDUCER.with_tidy(_without_macros)
+_MACRO_REDUCER = _REDUCER.with_tidies(_without_macros)
 
 
 def _parses(tokens: list[str], symbols_of: TokenSymbols, reducer: Reducer, tidy) -> bool:

@@ -164,3 +164,22 @@ def test_every_grammar_is_tried(spark):
 @pytest.mark.parametrize("tail, ok", [("", True), ("int g( {\n", False), ("int h() { return 1 + ; }\n", False), ("@", False)])
 def test_errors_far_behind_the_start(tail, ok):
     assert grammar_cpp.valid("int f(int a) { return a + 1; }\n" * 400 + tail) == ok
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "int f(int v, int m) {\n  if (v < 0 || v > 0x3F) return 1;\n  return v < 0 || v > m;\n}\n",
+        "void f() { auto g = [=](int a) { return a; }; auto h = [=, &x] { return 1; }; }\n",
+        "void (*get(const S *s))(int);\ntypedef int fn(int a);\nstruct { int a; } __attribute__((packed)) hdr;\n",
+        "struct A { using B = const long long int; friend C; bool operator!=(A o) { return !operator==(o); } };\n",
+        'typedef struct st *MY_TYPE;\nDECLARE_SET(MY_TYPE)\nDECLARE_MAP(MY_TYPE, int)\ntypedef struct { MY_TYPE A, B; } MY_PAIR;\nMY_API const MY_PAIR *get(const MY_PAIR *p) MY_PURE;\nMY_LIST(MY_PAIR) *(*fn)(void *db);\nextern const MY_PAIR MY_NULL;\nconst char *s = "a" FMT_LONG "b";\nint x = 1 + \\\n  2;\n',
+    ],
+)
+def test_further_forms_of_cpp(text):
+    assert grammar_cpp.valid(text)
+
+
+@pytest.mark.parametrize("bad", ["int f() { return 1 }\n", "int x = ;\n", "int a b c;\n", "typedef int\n", "MY_API int f(MY_TYPE *a {\n", "DECLARE_SET(A_B\nint x;\n", "void f() { auto g = [=(int a) { return a; }; }\n", "MY_TYPE x = MY_NULL +;\n"])
+def test_broken_forms_of_cpp(bad):
+    assert not grammar_cpp.valid(bad)
