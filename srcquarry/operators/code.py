@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -150,20 +150,21 @@ def _cpp(text: str) -> list[Node]:
     return out
 
 
-_PARSERS = {"python": _python, "go": _go, "cpp": _cpp}
+#: The parsers by language: a function from a text to its nodes, in order. ``parse_files`` takes further ones.
+PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": _python, "go": _go, "cpp": _cpp}
 
 
-def _windows(text: str, line: int) -> list[tuple[str, int, int]]:
+def _windows(text: str, line: int, limit: int, overlap: int) -> list[tuple[str, int, int]]:
     out = []
-    for i in range(0, len(text), LIMIT - OVERLAP):
-        piece = text[i : i + LIMIT]
+    for i in range(0, len(text), limit - overlap if limit > overlap else limit):
+        piece = text[i : i + limit]
         if piece.strip():
             first = line + text.count("\n", 0, i)
             out.append((piece, first, first + piece.count("\n")))
     return out
 
 
-def _members(body: str, parent: str, line: int) -> list[tuple]:
+def _members(body: str, parent: str, line: int, limit: int, overlap: int) -> list[tuple]:
     """The members of a long class or namespace as chunks of their own, named ``Parent::child``; trifles are left out."""
     inner = body.find("{") + 1
     end = body.rfind("}")
@@ -174,41 +175,54 @@ def _members(body: str, parent: str, line: int) -> list[tuple]:
             continue
         first = line + body.count("\n", 0, inner + n.start)
         kind = "member" if n.type == "variable" else n.type
-        parts = [(own, first, first + own.count("\n"))] if len(own) <= LIMIT else _windows(own, first)
-        signature = n.signature if len(own) <= LIMIT else ""
+        parts = [(own, first, first + own.count("\n"))] if len(own) <= limit else _windows(own, first, limit, overlap)
+        signature = n.signature if len(own) <= limit else ""
         out += [(kind, f"{parent}::{n.name}", signature, b, n.doc, x, y) for b, x, y in parts]
     return out
 
 
-def chunks_of(text: str, language: str) -> list[tuple]:
+def chunks_of(text: str, language: str, *, limit: int = LIMIT, overlap: int = OVERLAP, parser: Callable[[str], list[Node]] | None = None) -> list[tuple]:
     """(type, name, signature, body, doc, start_line, end_line) of a file: the text between symbols first, then the symbols."""
-    nodes = _PARSERS[language](text)
+    nodes = (parser or PARSERS[language])(text)
     gaps, symbols, at = [], [], 0
     for n in [*nodes, Node(len(text), len(text), "", "", "", "")]:
         gap = text[at : n.start]
         if gap.strip():
-            gaps += [("other", "", "", b, "", x, y) for b, x, y in _windows(gap, 1 + text.count("\n", 0, at))]
+            gaps += [("other", "", "", b, "", x, y) for b, x, y in _windows(gap, 1 + text.count("\n", 0, at), limit, overlap)]
         at = n.end
         if n.type:
             body, line = text[n.start : n.end], 1 + text.count("\n", 0, n.start)
-            if len(body) <= LIMIT:
+            if len(body) <= limit:
                 symbols.append((n.type, n.name, n.signature, body, n.doc, line, line + body.count("\n")))
             elif language == "cpp" and n.type in ("class", "struct", "namespace"):
-                symbols += _members(body, n.name, line)
+                symbols += _members(body, n.name, line, limit, overlap)
             else:
-                symbols += [(n.type, n.name, n.signature, b, n.doc, x, y) for b, x, y in _windows(body, line)]
+                symbols += [(n.type, n.name, n.signature, b, n.doc, x, y) for b, x, y in _windows(body, line, limit, overlap)]
     return gaps + symbols
 
 
-def parse_files(files: DataFrame, *, keep: list[str], text: str, language: str, on_error: str = "raise") -> DataFrame:
+def parse_files(
+    files: DataFrame,
+    *,
+    keep: list[str],
+    text: str,
+    language: str,
+    on_error: str = "raise",
+    limit: int = LIMIT,
+    overlap: int = OVERLAP,
+    parsers: dict[str, Callable[[str], list[Node]]] | None = None,
+) -> DataFrame:
     """Chunks of Python, Go and C++ files: ``keep``, ``chunk_ordinal``, ``type``, ``name``, ``signature``, ``body``, ``doc``, ``start_line``, ``end_line``.
 
     A file that does not parse fails the job, or with ``on_error='report'`` gives one chunk of type 'syntax_error'
     with the whole text, and what is wrong as its ``doc``. Blank and null texts and other languages give none.
+    Symbols longer than ``limit`` are cut into windows with ``overlap``. ``parsers`` adds languages or replaces the
+    parser of one; it gives the nodes of a text, or raises ValueError.
     """
     if on_error not in ("raise", "report"):
         raise ValueError("on_error is 'raise' or 'report'")
-    src = files.where(F.col(language).isin(*_PARSERS) & F.col(text).isNotNull()).select(*keep, F.col(language).alias("__lang"), F.col(text).alias("__text"))
+    known = {**PARSERS, **(parsers or {})}
+    src = files.where(F.col(language).isin(*known) & F.col(text).isNotNull()).select(*keep, F.col(language).alias("__lang"), F.col(text).alias("__text"))
     n = len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n])
     names = ["chunk_ordinal", "type", "name", "signature", "body", "doc", "start_line", "end_line"]
@@ -219,7 +233,7 @@ def parse_files(files: DataFrame, *, keep: list[str], text: str, language: str,
             at, rows = [], []
             for i, (lang, body) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
                 try:
-                    found = chunks_of(body, lang)
+                    found = chunks_of(body, lang, limit=limit, overlap=overlap, parser=known[lang])
                 except ValueError as e:
                     if on_error == "raise":
                         raise

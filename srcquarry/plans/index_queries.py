@@ -181,17 +181,6 @@ def gap_complement(spark, sf_dir):
     return uncovered(spans, extents, key=["file_path"], start="s", end="e", extent="extent")
 
 
-@query(
-    f"""SELECT chunk_id, length(body) - length(replace(body, chr(10), '')) + CASE WHEN body <> '' AND body[-1:] <> chr(10) THEN 1 ELSE 0 END AS lines,
-    length(body) AS chars, NOT regexp_matches(body, '{_BLANK}') AS blank FROM {_C}
-    WHERE NOT regexp_matches(body, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')"""
-)
-def lines_of_chunks(spark, sf_dir):
-    """Lines and characters of each chunk that ends its lines in the plain way, as its SQL has it; ``lines_of_all_chunks`` has every chunk."""
-    chunks = _chunks(spark, sf_dir).where(~F.col("body").rlike(r"[\r\x0b\x0c\x1c-\x1e\x85  ]"))
-    return chunks.select("chunk_id", F.size(lines_keepends(F.col("body"))).cast("bigint").alias("lines"), F.char_length("body").cast("bigint").alias("chars"), is_blank(F.col("body")).alias("blank"))
-
-
 _LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 
 
@@ -205,6 +194,12 @@ def lines_of_all_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).select("chunk_id", F.size(lines_keepends(body)).cast("bigint").alias("lines"), F.char_length(body).cast("bigint").alias("chars"), is_blank(body).alias("blank"))
 
 
+@query(SQL["lines_of_all_chunks"])
+def lines_of_chunks(spark, sf_dir):
+    """The same under its first name; no chunk is left out."""
+    return lines_of_all_chunks(spark, sf_dir)
+
+
 @query(
     f"""SELECT file_path, sha256(content) AS digest, length(content) AS chars,
     len(regexp_extract_all(content, '\\r\\n|[{_LINE_ENDS}]')) + CASE WHEN regexp_matches(content, '[^{_LINE_ENDS}]\\z') THEN 1 ELSE 0 END AS lines
@@ -452,21 +447,24 @@ def plan_changes(spark, sf_dir):
 @query(
     f"""WITH {_B}, d AS (SELECT coalesce(n.repo_dir, o.repo_dir) AS repo_dir, count(*) AS c FROM new n FULL JOIN old o
       ON n.repo_dir = o.repo_dir AND n.relative_path = o.relative_path WHERE n.sha256 IS DISTINCT FROM o.sha256 GROUP BY 1),
-    x AS (SELECT p.repo_dir, coalesce(d.c, 0) AS changes, NOT EXISTS (SELECT 1 FROM b WHERE b.repo_dir = p.repo_dir) AS first,
+    cur AS (SELECT map_extract_value(fingerprint, 'parser') AS parser FROM projects ORDER BY repo_dir LIMIT 1),
+    x AS (SELECT p.repo_dir, coalesce(d.c, 0) AS changes, map_extract_value(p.fingerprint, 'parser') IS DISTINCT FROM cur.parser AS other, NOT EXISTS (SELECT 1 FROM b WHERE b.repo_dir = p.repo_dir) AS first,
       NOT EXISTS (SELECT 1 FROM b WHERE b.repo_dir = p.repo_dir) AND EXISTS (SELECT 1 FROM build_log g WHERE g.repo_dir = p.repo_dir) AS migration
-      FROM projects p LEFT JOIN d USING (repo_dir))
-    SELECT repo_dir, changes, CASE WHEN migration THEN 'migration_required' WHEN first THEN 'first_build' WHEN changes > 0 THEN 'content_changes' ELSE 'no_changes' END AS status,
-    CASE WHEN migration OR first THEN 'full' WHEN changes > 0 THEN 'incremental' ELSE 'skip' END AS mode FROM x"""
+      FROM projects p CROSS JOIN cur LEFT JOIN d USING (repo_dir))
+    SELECT repo_dir, changes, CASE WHEN migration THEN 'migration_required' WHEN first THEN 'first_build' WHEN other THEN 'fingerprint_changed' WHEN changes > 0 THEN 'content_changes' ELSE 'no_changes' END AS status,
+    CASE WHEN migration OR first OR other THEN 'full' WHEN changes > 0 THEN 'incremental' ELSE 'skip' END AS mode FROM x"""
 )
 def plan_statuses(spark, sf_dir):
-    """Status and recommended mode of every repository."""
+    """Status and recommended mode of every repository; the parser of the first one is taken for the current one."""
     log = table(spark, sf_dir, "build_log")
     seen = log.groupBy("repo_dir").agg(F.max((F.col("status") == "active").cast("int")).alias("committed"))
     counts = plan_changes(spark, sf_dir).groupBy("repo_dir").agg(F.count("*").alias("changes"))
     rows = table(spark, sf_dir, "projects").join(seen, "repo_dir", "left").join(counts, "repo_dir", "left")
     changes = F.coalesce("changes", F.lit(0))
     never = F.coalesce("committed", F.lit(0)) == 0
-    status, mode = plan_status(migration=never & F.col("committed").isNotNull(), first=never, parser_changed=F.lit(False), changes=changes)
+    current = table(spark, sf_dir, "projects").orderBy("repo_dir").select(F.col("fingerprint")["parser"].alias("p")).first()["p"]
+    other = ~F.col("fingerprint")["parser"].eqNullSafe(F.lit(current))
+    status, mode = plan_status(migration=never & F.col("committed").isNotNull(), first=never, parser_changed=other, changes=changes)
     return rows.select("repo_dir", changes.alias("changes"), status.alias("status"), mode.alias("mode"))
 
 

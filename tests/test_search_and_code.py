@@ -82,3 +82,16 @@ def test_files_that_do_not_parse_are_reported(spark):
     assert {k: r.type for k, r in rows.items()} == {"a": "syntax_error", "b": "syntax_error", "c": "syntax_error", "d": "function"} and rows["b"].body == deep
     with pytest.raises(Exception, match="syntax error"):
         parse_files(files, keep=["p"], text="content", language="language").collect()
+
+
+def test_limits_and_further_parsers(spark):
+    from srcquarry.operators.code import Node, parse_files
+
+    def shout(text):
+        return [Node(m.start(), m.end(), "shout", m[0], m[0], "") for m in __import__("re").finditer(r"[A-Z]{3,}", text)]
+
+    files = spark.createDataFrame([("a", "notes", "some WORDS here"), ("b", "python", "def f():\n" + "    x = 1\n" * 30)], "p string, language string, content string")
+    rows = parse_files(files, keep=["p"], text="content", language="language", limit=100, overlap=10, parsers={"notes": shout}).collect()
+    assert [(r.type, r.body) for r in rows if r.p == "a"] == [("other", "some "), ("other", " here"), ("shout", "WORDS")]
+    long = [r.body for r in rows if r.p == "b"]
+    assert len(long) == 4 and all(len(b) <= 100 for b in long) and long[1].startswith(long[0][-10:])
