@@ -38,7 +38,9 @@ _KEYWORDS = frozenset(
     "def class func type struct interface const var static inline constexpr int long void bool auto return import from package if for while switch template public private async int32 int64 string byte map range enum namespace lambda".split()
 )
 _SPACE = re.compile(r"[ \t]+")
-_BREAK = re.compile(r"[ \t]*([{;}])[ \t]*\n?")
+_INNER_SPACE = re.compile(r"(?<=[^\s])[ \t]+")
+_BREAK = re.compile(r" ?([{;}]) ?\n?")
+_BROKEN = {"{": " {\n", ";": ";\n", "}": "\n}\n"}
 _JOINED = re.compile(r"(?<=[^\s;{}\x0f])[ \t]*\n[ \t]*(?!#)")
 _DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*", re.M)
 _GO_ON = re.compile(r"(?<=[(\[,.+\-*/%&|^<>=!:])[ \t]*\n[ \t]*|(?<=[A-Za-z0-9_)\]}\"])[ \t]*\n[ \t]*(?=[)\]])")
@@ -107,7 +109,7 @@ def canonical(code: str, language: str | None) -> list[tuple[int, str]]:
         while n:  # brackets from the inside out: their line breaks become blanks
             pad, n = _PY_OPEN.subn(lambda m: m[0].replace("\n", " ").translate(_HIDE), pad)
         levels = [0]
-        for line in pad.split("\n"):
+        for line in _INNER_SPACE.sub(" ", pad).split("\n"):
             text = line.strip()
             if not text:
                 continue
@@ -117,26 +119,32 @@ def canonical(code: str, language: str | None) -> list[tuple[int, str]]:
             if indent > levels[-1]:
                 levels.append(indent)
             depth = len(levels) - 1
+            if ":" not in text[:-1] and ";" not in text:
+                rows.append((depth, text))
+                continue
             for part in text.split(";"):
                 while m := _BLOCK.match(part.strip()):
-                    rows.append((depth, _SPACE.sub(" ", m[1])))
+                    rows.append((depth, m[1]))
                     part, depth = part.strip()[m.end() :], depth + 1
                 if part.strip():
-                    rows.append((depth, _SPACE.sub(" ", part.strip())))
-        return [(depth, row.translate(_SHOW)) for depth, row in rows]
+                    rows.append((depth, part.strip()))
+        return list(zip([depth for depth, _ in rows], "\n".join([row for _, row in rows]).translate(_SHOW).split("\n"))) if rows else []
     flat = _DIRECTIVE.sub(lambda m: m[0].translate(_HIDE) + "\x0f", code) if "#" in code else code
     flat = _FOR.sub(lambda m: m[0].replace(";", "\x02"), flat)
     flat = (_GO_ON if language == "go" else _JOINED).sub(" ", flat)
     depth = 0
-    for line in _BREAK.sub(lambda m: " {\n" if m[1] == "{" else ";\n" if m[1] == ";" else "\n}\n", flat).split("\n"):
+    broken = _BREAK.sub(lambda m: _BROKEN[m[1]], _SPACE.sub(" ", flat))
+    for line in broken.split("\n"):
         text = line.strip()
         if not text:
             continue
         if text == "}":
             depth = max(0, depth - 1)
-        rows.append((depth, _SPACE.sub(" ", text)))
+        rows.append((depth, text))
         if text[-1] == "{":
             depth += 1
+    if "\x02" not in flat and "\x0f" not in flat:
+        return rows
     return [(depth, row.translate(_SHOW).rstrip("\x0f")) for depth, row in rows]
 
 
@@ -161,16 +169,16 @@ def layout(text: str, language: str | None) -> Layout:
         if c == "/":
             return "\n" if "\n" in t else ""
         n = len(t)
-        if n > 24 and " " not in t.strip("\"'`") or n > 400 and t.count(" ") < n / 30:
+        if n > 24 and (" " not in t.strip("\"'`") or n > 400 and t.count(" ") < n / 30):
             data += n
             return '"' + "\x01" * (n - 2) + '"'
         return '""'
 
     code = _SKIP.sub(lex, text.replace("\r", ""))
-    original = [_SPACE.sub(" ", r.strip()) for r in code.split("\n") if r and not r.isspace()]
+    original = [r.strip() for r in _SPACE.sub(" ", code).split("\n") if r and not r.isspace()]
     rows = canonical(code, language)
-    there = Counter(r for _, r in rows)
-    same = sum((there & Counter(original)).values())
+    there = {row for _, row in rows}
+    same = sum([row in there for row in original])
     size = len(code) - code.count(" ") - code.count("\t") - code.count("\n")
     digits = sum(map(len, _NUMBER.findall(code)))
     if digits * 3 > size:  # in tables, separators belong to the data
