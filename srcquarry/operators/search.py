@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import distance_to, similarity
 
 DIMENSIONS = 64
-WORD = r"[\p{L}\p{N}_]+"
+WORD = regex.compile(r"[\p{L}\p{N}_]+")
 
 
 def check_query(text: str | None, top_k: int) -> None:
@@ -75,26 +78,27 @@ def top_k_batch(queries: DataFrame, rows: DataFrame, *, k: int, id_: str, embedd
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_), "distance")
 
 
-def word_codes(text: Column) -> Column:
-    """The words of a text, lower case, as numbers under DIMENSIONS by their hash; null for null."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % DIMENSIONS)
+@lru_cache(maxsize=200_000)
+def word_code(word: str) -> int:
+    """A number under DIMENSIONS by the word's hash."""
+    return hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[0] % DIMENSIONS
 
 
 def hash_embedding(text: Column) -> Column:
     """The default offline embedding: how often each word code occurs; null for null texts and texts without words.
 
-    Words are found and hashed inside the JVM; a batch of texts is counted at once.
+    A batch of texts is counted at once.
     """
 
-    def count(codes: pd.Series) -> pd.Series:
-        sizes = codes.map(len, na_action="ignore").fillna(0).astype(int).to_numpy()
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *codes[sizes > 0]]).astype(np.int64)
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        counts = np.bincount(rows * DIMENSIONS + flat, minlength=len(sizes) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+    def count(texts: pd.Series) -> pd.Series:
+        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        codes = np.fromiter((word_code(w) for words in found for w in words), dtype=np.int64, count=int(sizes.sum()))
+        places = np.repeat(np.arange(len(sizes)), sizes) * DIMENSIONS + codes
+        counts = np.bincount(places, minlength=len(sizes) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
         return pd.Series([v if n else None for v, n in zip(counts, sizes)], dtype=object)
 
-    return F.pandas_udf(count, T.ArrayType(T.FloatType()))(word_codes(text))
+    return F.pandas_udf(count, T.ArrayType(T.FloatType()))(text)
 
 
 def embed_one(spark: SparkSession, text: str, embed=hash_embedding) -> list[float] | None:

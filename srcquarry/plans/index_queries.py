@@ -652,7 +652,7 @@ _QUESTION = "rotate the ledger before the next build"
 
 
 def _codes(text: str) -> str:
-    counts = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CAST('0x' || md5(w)[1:4] AS INT) % 64)"
+    counts = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CAST('0x' || md5(w)[1:2] AS INT) % 64)"
     return f"list_transform(range(64), lambda k: CAST(len(list_filter({counts}, lambda c: c = k)) AS DOUBLE))"
 
 
@@ -662,7 +662,8 @@ def _codes(text: str) -> str:
 )
 def search_text(spark, sf_dir):
     """Index rows nearest to a question by the default embedding, ranked exactly."""
-    rows = _stored(spark, sf_dir).select("id", "document").withColumn("embedding", hash_embedding(F.col("document")))
+    documents = spread(table(spark, sf_dir, "stored_row").select("id", "document"))
+    rows = documents.select("id", hash_embedding(F.col("document")).alias("embedding")).dropDuplicates(["id"])
     return top_k(rows, embed_one(spark, _QUESTION), k=20, id_="id", embedding="embedding").select("id", F.round("distance", 6).alias("distance"))
 
 
